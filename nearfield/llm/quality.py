@@ -22,6 +22,8 @@ WINDOW = 5
 MIN_WORDS = 30
 #: Texts of a language that a reference is made of, at least.
 MIN_REFERENCE = 20
+#: References of up to so many languages (about 200 bytes each) are sent to every executor.
+MAX_BROADCAST_REFERENCES = 10_000
 MAX_CLASS_DIVERGENCE = 0.15
 MAX_WORD_DIVERGENCE = 0.35
 
@@ -114,8 +116,9 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_w
     d = shares(d, lang)
     bins = [f"__c{i}" for i in range(len(CLASSES))] + [f"__f{k}" for k in range(N_COMMON + 1)]
     usual = d.filter(~F.col("base_failed") & (F.col("n_words") >= min_words)).groupBy("__lang").agg(*[F.avg(b).alias(f"{b}_r") for b in bins], F.count("*").alias("__texts"))
-    usual = usual.filter(F.col("__texts") >= MIN_REFERENCE)
-    both = d.join(usual, "__lang", "left")
+    usual = materialise(usual.filter(F.col("__texts") >= MIN_REFERENCE), "references")
+    few = usual.count() <= MAX_BROADCAST_REFERENCES  # else a shuffled join, which adaptive execution splits
+    both = d.join(F.broadcast(usual) if few else usual, "__lang", "left")
     apart = lambda names: F.when(F.col("n_words") >= min_words, jensen_shannon([F.col(b) for b in names], [F.col(f"{b}_r") for b in names]))
     both = both.withColumns({"class_divergence": F.when(F.col("__texts").isNotNull(), apart(bins[:5])), "word_divergence": F.when(F.col("__texts").isNotNull() & F.col("__found").isNotNull(), apart(bins[5:]))})
     far = (F.coalesce(F.col("class_divergence"), F.lit(0.0)) > max_class_divergence) | (F.coalesce(F.col("word_divergence"), F.lit(0.0)) > max_word_divergence)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from nearfield.llm import chat, mixing, quality, sharding, urls
+import corpus_pipeline
+from nearfield.llm import chat, decontaminate, mixing, quality, sharding, simhash, toxicity, urls
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_counterfactual": toxicity.op1_counterfactual,
     "op2_perspectives": chat.op2_perspectives,
     "op3_ring": sharding.op3_ring,
     "op4_temporal_lists": urls.op4_temporal_lists,
     "op6_divergence": quality.op6_divergence,
     "op8_water_fill": mixing.op8_water_fill,
+    "op9_string_tiling": decontaminate.op9_string_tiling,
+    "op10_bit_sliced": simhash.op10_bit_sliced,
 }
 
 SQL = {
