@@ -33,7 +33,7 @@ KIND = {w: k for k, ws in IDENTITY_TERMS.items() for w in ws}
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
-HASH_BITS = 24
+HASH_BITS = 22
 #: Labelled rows that the model is fitted on, at most (expected number of a seeded sample of each label).
 SAMPLE_ROWS = 6000
 #: Features that the fit keeps: those whose presence differs most between the labels.
@@ -48,7 +48,7 @@ def word_features(word: str) -> tuple[int, ...]:
 
 
 def text_features(words: set[str]) -> np.ndarray:
-    return np.unique(np.fromiter((f for w in words for f in word_features(w)), dtype=np.int64))
+    return np.unique(np.fromiter((f for w in words for f in word_features(w)), dtype=np.int32))
 
 
 def counterfactuals(text: str, seed: int, swaps: int = 3, inserts: int = 2) -> list[tuple[str, str]]:
@@ -88,12 +88,12 @@ class Model:
 
 
 def _rows(features: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the kept features; columns are sorted hashes."""
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    flat = np.concatenate(features) if features else np.empty(0, dtype=np.int64)
-    at = np.minimum(np.searchsorted(columns, flat), max(0, len(columns) - 1))
-    ok = columns[at] == flat if len(columns) else np.zeros(len(flat), dtype=bool)
-    return row[ok], at[ok]
+    """(row, column) of the kept features; columns are hashes."""
+    at = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+    at[columns] = np.arange(len(columns))
+    kept = [at[f] for f in features]
+    kept = [f[f >= 0] for f in kept]
+    return np.repeat(np.arange(len(kept)), [len(f) for f in kept]), np.concatenate(kept).astype(np.int64)
 
 
 def train(features: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str]], max_features: int = MAX_FEATURES, l2: float = 1e-4, l1: float = 2e-4, penalty: float = 1.0, rounds: int = 300) -> Model:
@@ -105,16 +105,16 @@ def train(features: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str,
     n, share = len(labels), float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model({}, -40.0 if share == 0 else 40.0)
-    flat = np.concatenate(features)
-    of = np.repeat(labels, [len(f) for f in features])
-    hashes, inverse = np.unique(flat, return_inverse=True)
-    seen = np.bincount(inverse, minlength=len(hashes))
-    pos = np.bincount(inverse, weights=of, minlength=len(hashes))
+    seen, pos = np.zeros(1 << HASH_BITS, dtype=np.int32), np.zeros(1 << HASH_BITS, dtype=np.int32)
+    for f, label in zip(features, labels, strict=True):  # a text has a feature once
+        seen[f] += 1
+        pos[f] += int(label)
+    columns = np.flatnonzero(seen > 1)
+    seen, pos = seen[columns], pos[columns]
     p1, p0, p = pos / labels.sum(), (seen - pos) / (n - labels.sum()), seen / n
     z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1 / n) * (1 / labels.sum() + 1 / (n - labels.sum())))
-    z[seen < 2] = 0
     keep = np.sort(np.argsort(-z, kind="stable")[:max_features])
-    columns = hashes[keep][z[keep] > 2]
+    columns = columns[keep][z[keep] > 2]
     r, c = _rows(features, columns)
     d_rows = [(word_features(a) if a else (), word_features(b)) for a, b in pairs]
     index = {int(h): i for i, h in enumerate(columns)}
@@ -177,12 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int =
         for b in batches:
             f = [text_features(set(WORD.findall(t.lower()))) for t in b["__text"]]
             p = [counterfactuals(t, int(i)) for i, t in zip(b["__id"], b["__text"], strict=True)]
-            yield pd.DataFrame({"id": b["__id"], "label": b["__label"], "f": f, "a": [[x for x, _ in q] for q in p], "b": [[y for _, y in q] for q in p]})
-
-    got = joined.mapInPandas(extract, "id long, label int, f array<long>, a array<string>, b array<string>").collect()  # bounded by the sample
-    got.sort(key=lambda r: (r["id"], r["f"]))
-    pairs = [(x, y) for r in got for x, y in zip(r["a"], r["b"], strict=True)]
-    model = train([np.array(r["f"], dtype=np.int64) for r in got], np.array([r["label"] for r in got], dtype=float), pairs, **training)
+            yield pd.DataFrame({"id": b["__id"], "label": b["__label"], "f": [x.tobytes() for x in f], "pairs": [",".join(f"{x}:{y}" for x, y in q) for q in p]})
+
+    # bounded by the sample: four bytes for each feature of a text
+    got = joined.mapInPandas(extract, "id long, label int, f binary, pairs string").collect()
+    got.sort(key=lambda r: (r["id"], bytes(r["f"])))
+    pairs = [tuple(x.split(":")) for r in got for x in r["pairs"].split(",") if x]
+    features, known_labels = [np.frombuffer(r["f"], dtype=np.int32) for r in got], np.array([r["label"] for r in got], dtype=float)
+    del got
+    model = train(features, known_labels, pairs, **training)
     if model.weights and take[0] and take[1]:
         model = Model(model.weights, model.bias + float(np.log((n[1] / n[0]) / (take[1] / take[0]))))
     return model
