@@ -79,9 +79,13 @@ class Model:
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
             words = set(WORD.findall(text.lower())) if text else set()
-            for w in words - cache.keys():
-                cache[w] = self.word_weight(w)
-            out[i] = self.bias + sum(map(cache.__getitem__, words))
+            total = self.bias
+            for w in words:
+                weight = cache.get(w)
+                if weight is None:
+                    weight = cache[w] = self.word_weight(w)
+                total += weight
+            out[i] = total
             if len(cache) > 200_000:
                 cache.clear()
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
