@@ -2,9 +2,125 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import functions as F
 
+from nearfield.functions import columns as C
+from nearfield.operators import search, signing, upsert
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+#: No two test vectors are near copies, so the lookups run at a threshold that some pairs reach.
+LOOSE = 0.3
+
+
+def _read(spark, sf_dir, table):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _index(spark, sf_dir, families=1):
+    return signing.band_table(signing.sign(_read(spark, sf_dir, "embeddings"), families))
+
+
+def flagship(spark, sf_dir):
+    """Signatures, bands, candidates, verified pairs."""
+    return near_pairs(spark, sf_dir)
+
+
+def near_pairs(spark, sf_dir):
+    out = search.near_pairs(_index(spark, sf_dir), LOOSE)
+    return out.select("a", "b", "hamming", F.round("cosine", 6).alias("cosine"))
+
+
+def signatures(spark, sf_dir):
+    return signing.sign(_read(spark, sf_dir, "embeddings"), 3)
+
+
+def band_rows(spark, sf_dir):
+    return _index(spark, sf_dir).select("vec_id", "family", "band", "value")
+
+
+def top_matches(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    asked = index.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return search.find_similar(asked, index, LOOSE).select("query_id", "vec_id", "n_bands", "hamming", F.col("rank").cast("long").alias("rank"))
+
+
+def hamming_scan(spark, sf_dir):
+    signed = signing.sign(_read(spark, sf_dir, "embeddings")).withColumn("words", C.words64(F.col("signature")))
+    return search.exact_scan(signed.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), signed, 100)
+
+
+def previews(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", C.preview(F.col("text")).alias("preview"), F.length("text").alias("n"))
+
+
+def token_windows(spark, sf_dir):
+    tokens = F.split("text", " ")
+    w = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.windows(tokens)).alias("chunk", "w"))
+    return w.select("doc_id", "chunk", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
+
+
+def verdicts(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", C.suspicious_probability(F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))).alias("p"))
+    return e.select("vec_id", F.round("p", 6).alias("score"), C.label(F.col("p")).alias("label"), C.response(F.col("p")).alias("response"))
+
+
+def exact_dedup(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").groupBy(F.trim("text").alias("t")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+
+
+def latest_event(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    merged = upsert.upsert(e.filter("event_id % 2 = 0").transform(lambda d: upsert.latest(d, "user_id", "ts", "event_id")), e.filter("event_id % 2 = 1"), "user_id", "ts", "event_id")
+    return merged.select("user_id", "event_id", "event_type")
+
+
+def sync_counts(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select("user_id", "event_id")
+    return upsert.sync_counts(e.filter("event_id % 3 = 0").select("user_id").distinct(), e.filter("event_id % 3 = 1"), "user_id")
+
+
+QUERIES = {f.__name__: f for f in (near_pairs, signatures, band_rows, top_matches, hamming_scan, previews, token_windows, verdicts, exact_dedup, latest_event, sync_counts)}
+
+
+def _signed_sql(families: int) -> str:
+    """CTE ``signed`` (vec_id, family, signature): SplitMix64 in 128-bit arithmetic."""
+    return f"""
+seeds AS (
+  SELECT f.i AS family, b.i AS bit, d.i AS dim,
+         (((xor(xor(f.i::UBIGINT << 48, b.i::UBIGINT << 24), d.i::UBIGINT))::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z0
+  FROM range({families}) f(i), range(256) b(i), range(64) d(i)),
+z1 AS (SELECT family, bit, dim, ((xor(z0, z0 >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM seeds),
+z2 AS (SELECT family, bit, dim, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM z1),
+planes AS (SELECT family, bit, list(CASE WHEN xor(z, z >> 31) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY dim) AS p FROM z2 GROUP BY family, bit),
+dots AS (SELECT vec_id, family, bit, list_dot_product(embedding::DOUBLE[], p) > 0 AS one FROM embeddings, planes),
+digits AS (SELECT vec_id, family, bit // 4 AS n, sum(CASE WHEN one THEN 8 >> (bit % 4) ELSE 0 END)::INT AS v FROM dots GROUP BY ALL),
+signed AS (SELECT vec_id, family::INT AS family, string_agg(substr('0123456789abcdef', v + 1, 1), '' ORDER BY n) AS signature FROM digits GROUP BY vec_id, family)"""
+
+
+_BANDS = ",\nbanded AS (SELECT vec_id, family, signature, i::INT AS band, substr(signature, (1 + 4 * i)::INT, 4) AS value FROM signed, range(16) r(i))"
+_HAMMING = " + ".join(f"bit_count(xor(('0x' || substr(x.signature, {1 + 16 * i}, 16))::UBIGINT, ('0x' || substr(y.signature, {1 + 16 * i}, 16))::UBIGINT))::INT" for i in range(4))
+
+SQL = {
+    "signatures": f"WITH {_signed_sql(3)} SELECT vec_id, family, signature FROM signed",
+    "band_rows": f"WITH {_signed_sql(1)}{_BANDS} SELECT vec_id, family, band, value FROM banded",
+    "near_pairs": f"""WITH {_signed_sql(1)}{_BANDS},
+pairs AS (SELECT DISTINCT x.vec_id AS a, y.vec_id AS b, ({_HAMMING})::INT AS hamming FROM banded x JOIN banded y USING (band, value) WHERE x.vec_id < y.vec_id)
+SELECT a, b, hamming, round(cos(pi() * hamming / 256.0::DOUBLE), 6) AS cosine FROM pairs WHERE hamming <= 103""",
+    "top_matches": f"""WITH {_signed_sql(1)}{_BANDS},
+hits AS (SELECT x.vec_id AS query_id, y.vec_id AS vec_id, count(*) AS n_bands, min({_HAMMING})::INT AS hamming FROM banded x JOIN banded y USING (band, value) WHERE x.vec_id % 50 = 0 GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hamming, vec_id) AS rank FROM hits WHERE hamming <= 103) WHERE rank <= 10""",
+    "hamming_scan": f"""WITH {_signed_sql(1)}
+SELECT * FROM (SELECT x.vec_id AS query_id, y.vec_id AS vec_id, ({_HAMMING})::INT AS hamming FROM signed x, signed y WHERE x.vec_id % 50 = 0) WHERE hamming <= 100""",
+    "previews": "SELECT doc_id, CASE WHEN length(text) <= 50 THEN text ELSE substr(text, 1, 47) || '...' END AS preview, length(text)::INT AS n FROM documents",
+    "token_windows": """WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+c AS (SELECT doc_id, w, unnest(range(greatest(1, ceil((len(w) - 510) / 460.0)::INT + 1))) AS chunk FROM t)
+SELECT doc_id, chunk::INT AS chunk, len(w[chunk * 460 + 1 : chunk * 460 + 510])::INT AS n_tokens, md5(array_to_string(w[chunk * 460 + 1 : chunk * 460 + 510], ' ')) AS digest FROM c""",
+    "verdicts": """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+s AS (SELECT vec_id, exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS p FROM p)
+SELECT vec_id, round(p, 6) AS score, CASE WHEN p >= 0.5 THEN 'suspicious' ELSE 'safe' END AS label, CASE WHEN p >= 0.8 THEN 'block' WHEN p >= 0.5 THEN 'review' ELSE 'allow' END AS response FROM s""",
+    "exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY trim(text)",
+    "latest_event": """WITH o AS (SELECT user_id, event_id, event_type, event_id % 2 AS odd, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY odd DESC) AS k FROM o WHERE n = 1) WHERE k = 1""",
+    "sync_counts": """WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id % 3 = 0), k AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 1 GROUP BY 1),
+j AS (SELECT n, CASE WHEN c.user_id IS NULL THEN 1 ELSE 0 END AS a FROM k LEFT JOIN c USING (user_id))
+SELECT sum(a)::BIGINT AS added, sum(n - a)::BIGINT AS updated, ((SELECT count(*) FROM c) + sum(a))::BIGINT AS total FROM j""",
+}
