@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from nearfield.llm import chat, decontaminate, mixing, quality, sharding, simhash, toxicity, urls
+from nearfield.llm import backoff, chat, decontaminate, mixing, quality, sharding, simhash, suffix, toxicity, urls
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -11,7 +11,9 @@ QUERIES = {
     "op2_perspectives": chat.op2_perspectives,
     "op3_ring": sharding.op3_ring,
     "op4_temporal_lists": urls.op4_temporal_lists,
+    "op5_index_family": suffix.op5_index_family,
     "op6_divergence": quality.op6_divergence,
+    "op7_stupid_backoff": backoff.op7_stupid_backoff,
     "op8_water_fill": mixing.op8_water_fill,
     "op9_string_tiling": decontaminate.op9_string_tiling,
     "op10_bit_sliced": simhash.op10_bit_sliced,
@@ -20,5 +22,6 @@ QUERIES = {
 SQL = {
     "op2_perspectives": chat.OP2_SQL,
     "op4_temporal_lists": urls.OP4_SQL,
+    "op7_stupid_backoff": backoff.OP7_SQL,
     "op8_water_fill": mixing.OP8_SQL,
 }
