@@ -133,7 +133,8 @@ def train(features: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str,
 
     w, bias = np.zeros(len(columns)), float(np.log(share / (1 - share)))
     width = np.bincount(r, minlength=n)
-    step = 1.0 / (0.25 * (1 + np.bincount(c, minlength=max(1, len(columns))).max(initial=0) / n * max(1.0, width.mean())) + l2 + penalty * 8 / m)
+    spread = np.bincount(dr).max(initial=0) * np.bincount(dc).max(initial=0) if len(dr) else 0  # bounds the pairs' curvature
+    step = 1.0 / (0.25 * (1 + np.bincount(c, minlength=max(1, len(columns))).max(initial=0) / n * max(1.0, width.mean())) + l2 + 2 * penalty / m * spread)
     v, vb, t = w.copy(), bias, 1.0
     for _ in range(rounds):
         y = 1 / (1 + np.exp(-np.clip(np.bincount(r, weights=v[c], minlength=n) + vb, -40, 40)))
