@@ -40,7 +40,6 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, backoff: fl
     asked = pairs(docs.select(*key, text), "doc_id", "__t").groupBy("doc_id", "__t", "v", "w").agg(F.count("*").alias("tf"))
     met = asked.join(table, ["v", "w"], "left")
     one = F.log(F.coalesce(F.col("c1"), F.lit(1)) / F.greatest(F.col("total"), F.lit(1)) * F.when(F.col("v").isNull(), 1.0).otherwise(backoff))
-    # documents back off to few words often: their sums are formed before the second join
     rest = met.filter("s2 is null").join(single, "w", "left").join(F.broadcast(total)).select("doc_id", "__t", "tf", one.alias("s"))
     scored = met.filter("s2 is not null").select("doc_id", "__t", "tf", F.col("s2").alias("s")).unionByName(rest)
     copies = docs.select(*key).groupBy("doc_id", "__t").agg(F.count("*").alias("__n"))
