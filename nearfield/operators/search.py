@@ -46,3 +46,20 @@ def quality(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
     n = n.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
     return n.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def tiered_search(queries: DataFrame, corpus: DataFrame, threshold: float = 0.85, min_results: int = 10, families: int = 3, query: str = "query_id", key: str = "vec_id") -> DataFrame:
+    """(query, key, tier, hamming, rank): matches from as few families as give min_results, in one pass.
+
+    tier: the first family in which the pair shares a band and reaches the
+    threshold. A query goes on to the next family while it has fewer than
+    min_results matches; ties by key.
+    """
+    c = corpus.select(F.col(key), "family", "band", "value", F.col("words").alias("wc"))
+    hits = queries.filter(F.col("family") < families).join(c, ["family", "band", "value"]).select(query, key, "family", hamming_words(F.col("words"), F.col("wc")).alias("hamming"))
+    first = hits.filter(F.col("hamming") <= largest_distance(threshold)).groupBy(query, key).agg(F.min(F.struct("family", "hamming")).alias("m")).select(query, key, F.col("m.family").alias("tier"), F.col("m.hamming").alias("hamming"))
+    enough = first.groupBy(query, "tier").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(query).orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = enough.withColumn("before", before).filter(F.col("before") < min_results).select(query, "tier")
+    rank = F.row_number().over(Window.partitionBy(query).orderBy("hamming", key))
+    return first.join(used, [query, "tier"]).withColumn("rank", rank).filter(F.col("rank") <= min_results).select(query, key, "tier", "hamming", "rank")
