@@ -3,19 +3,20 @@
 Two equal strings of ``length`` bytes have the same minimiser (the ``SEED``
 bytes of least hash in them) at the same place, so suffixes are dealt out by
 minimiser and compared only there. A chunk is the run of strings that share a
-minimiser occurrence; chunks that occur twice as a whole are settled by a
-count. The others meet in the index family of their minimiser: each batch
-gets a suffix array, is merge-scanned against the levels, and joins them;
-levels of a size are merged.
+minimiser occurrence, known by the minimiser's hash and its own (128 bits
+together); chunks that occur twice as a whole are settled by a count. The
+others meet in the index family of their minimiser: each batch gets a suffix
+array, is merge-scanned against the levels, and joins them; levels of a size
+are merged.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,17 +129,18 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = []
             for k1, k2, data in zip(b["k1"], b["k2"], b["data"], strict=True):
                 for a, s, n in zip(*chunks(data, length), strict=True):
-                    rows.append((k1, k2, int(a), int(s), int(n), hashlib.blake2b(data[s : s + n + length - 1], digest_size=16).digest()))
+                    rows.append((k1, k2, int(a), int(s), int(n), xxhash.xxh3_64_intdigest(data[s : s + n + length - 1]) - (1 << 63)))
             yield pd.DataFrame(rows, columns=["k1", "k2", "anchor", "start", "n", "chunk"])
 
-    found = materialise(texts.mapInPandas(cut, "k1 long, k2 long, anchor long, start int, n int, chunk binary"), "chunks")
-    place = F.min(F.struct("k1", "k2", "start", "n")).alias("place")
-    counts = materialise(found.groupBy("anchor", "chunk").agg(F.count("*").alias("times"), place), "chunk-counts")
-    whole = found.join(counts.filter("times > 1").select("anchor", "chunk"), ["anchor", "chunk"], "left_semi").select("k1", "k2", "start", "n").distinct()
+    found = materialise(texts.mapInPandas(cut, "k1 long, k2 long, anchor long, start int, n int, chunk long"), "chunks")
+    by_anchor = found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("chunk") != F.max("chunk")).alias("mixed")).filter("times > 1").select("anchor", "mixed")
+    met = materialise(found.join(by_anchor, "anchor"), "met")
+    counts = materialise(met.filter("mixed").groupBy("anchor", "chunk").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("place")), "chunk-counts")
+    twice = met.filter("mixed").join(counts.filter("times > 1").select("anchor", "chunk"), ["anchor", "chunk"], "left_semi")
+    whole = met.filter("not mixed").unionByName(twice.select(*met.columns)).select("k1", "k2", "start", "n")
 
     # minimisers with different chunks: one place of each chunk goes to the minimiser's family
-    mixed = counts.groupBy("anchor").agg(F.count("*").alias("different")).filter("different > 1").select("anchor")
-    wanted = counts.join(mixed, "anchor", "left_semi").groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct("anchor", "place.start", "place.n")).alias("parts"))
+    wanted = counts.groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct("anchor", "place.start", "place.n")).alias("parts"))
     one = wanted.join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "data", F.explode("parts").alias("p"))
     bytes_of = F.substring(F.col("data"), F.col("p.start") + 1, F.col("p.n") + length - 1)
     dealt = one.select(F.col("p.anchor").alias("anchor"), "k1", "k2", F.col("p.start").alias("start"), bytes_of.alias("bytes")).repartition("anchor").sortWithinPartitions("anchor")
@@ -184,7 +186,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     """
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(data).alias("k1"), F.xxhash64(F.lit(1), data).alias("k2"), data.alias("data"))
-    starts = repeated_starts(texts.select("k1", "k2", "data"), length).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))
+    starts = repeated_starts(texts.select("k1", "k2", "data"), length).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"))
 
     def apply(batches):
         for b in batches:
