@@ -1,52 +1,166 @@
-"""Stupid-backoff scores of documents from n-gram count tables of the whole corpus."""
+"""Stupid-backoff scores of documents from n-gram count tables of the whole corpus.
+
+Documents are packed in blocks of some million words. A block explodes into
+its distinct single words and pairs, as 64-bit hashes with counts, which go to
+the buckets of their hash range: one packed row for a block and bucket. A
+bucket sums its count table and joins it with what each block asked for; the
+counts return to the block, which sums the scores of its documents. So a pair
+crosses the network once for a block that holds it, however often it is there,
+and no bucket gets a frequent pair more than once from a block.
+"""
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.words import words
+from nearfield.scratch import materialise
 
 BACKOFF = 0.4
 #: A pair of words counts from so many occurrences in the corpus on; a rarer one backs off to its second word.
 MIN_COUNT = 2
+#: Words after which a block is closed; a longer document is a block of its own. About 100 bytes of memory for each.
+BLOCK_WORDS = 2_000_000
+#: Documents after which a block is closed, however short they are.
+BLOCK_DOCS = 100_000
+#: Words of the corpus to a bucket: it holds at most two hashes for each.
+BUCKET_WORDS = 3_000_000
+
+
+def _press(a: np.ndarray) -> bytes:
+    """Bytes of an array, those of equal weight together, compressed."""
+    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
+
+
+def _unpress(b: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T.tobytes(), dtype)
+
+
+def _blocks(docs: DataFrame, doc_id: str, text: str, block_words: int) -> DataFrame:
+    """(block, ids, n_words, body): the documents' ids and their words, a line for each document."""
+    id_type = docs.schema[doc_id].dataType.simpleString()
+
+    def pack(batches):
+        block, ids, lines, n = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def row(kind):
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([n], pa.int64()), pa.array([zstandard.compress(b"\n".join(lines))], pa.binary())], ["block", "ids", "n_words", "body"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = t.split() if t is not None else []  # bytes split at the six ASCII separators
+                ids.append(i), lines.append(b" ".join(w))
+                n += len(w)
+                if n >= block_words or len(ids) >= BLOCK_DOCS:
+                    yield row(b.column(0).type)
+                    block, ids, lines, n = block + 1, [], [], 0
+            kind = b.column(0).type
+        if ids:
+            yield row(kind)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return materialise(rows.mapInArrow(pack, f"block long, ids array<{id_type}>, n_words long, body binary"), "blocks")
 
 
-def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, backoff: float = BACKOFF, min_count: int = MIN_COUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class Grams:
+    """Words and pairs of a block: ``hashes`` (sorted, distinct) with ``counts``, and where each word finds its own."""
+
+    def __init__(self, body: bytes):
+        lines = [x.split() for x in zstandard.decompress(body).split(b"\n")]
+        self.lengths = np.array([len(x) for x in lines])
+        codes, vocabulary = pd.factorize(np.array([*chain.from_iterable(lines), None], dtype=object)[:-1])
+        word = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in vocabulary), np.uint64, len(vocabulary))
+        self.first = np.zeros(len(codes), bool)
+        self.first[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
+        later = np.flatnonzero(~self.first)
+        h = word[codes[later - 1]] * np.uint64(0x9E3779B97F4A7C15) + word[codes[later]]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        pairs, at, times = np.unique(h ^ (h >> np.uint64(32)), return_inverse=True, return_counts=True)
+        both = np.concatenate([word, pairs])
+        order = np.argsort(both, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.hashes = both[order]
+        self.counts = np.concatenate([np.bincount(codes, minlength=len(word)), times])[order].astype(np.int64)
+        self.single, self.pair = rank[codes], np.zeros(len(codes), np.int64)
+        self.pair[later] = rank[len(word) + at]
+
+    def sums(self, counts: np.ndarray, total: int, backoff: float, min_count: int) -> np.ndarray:
+        """Sum of the logarithms of each document's words, from the corpus counts of ``hashes``."""
+        c1 = np.maximum(counts[self.single], 1)
+        alone = np.log(c1 / max(total, 1) * np.where(self.first, 1.0, backoff))
+        c2 = counts[self.pair]
+        follows = ~self.first & (c2 >= min_count)
+        before = np.concatenate([[1], c1[:-1]])[: len(c1)]
+        score = np.where(follows, np.log(np.maximum(c2, 1) / before), alone)
+        return np.bincount(np.repeat(np.arange(len(self.lengths)), self.lengths), score, len(self.lengths))
+
+
+def _asked(blocks: DataFrame, n_buckets: int, counted: bool, replied: bool) -> DataFrame:
+    """(block, bucket, replied, hashes, counts): a row for each bucket that a block has hashes of."""
+
+    def explode(batches):
+        for b in batches:
+            for block, body in zip(b["block"], b["body"], strict=True):
+                g = Grams(body)
+                bucket = ((g.hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+                edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(n_buckets), append=np.uint64(n_buckets))) if len(bucket) else []
+                counts = g.counts if counted else np.zeros_like(g.counts)
+                rows = [(block, int(bucket[a]), replied, _press(np.diff(g.hashes[a:z], prepend=np.uint64(0))), _press(counts[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+                yield pd.DataFrame(rows, columns=["block", "bucket", "replied", "hashes", "counts"])
+
+    return blocks.select("block", "body").mapInPandas(explode, "block long, bucket long, replied boolean, hashes binary, counts binary")
+
+
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: its count table, joined with the hashes that blocks asked for."""
+    hashes = [np.cumsum(_unpress(x, np.uint64), dtype=np.uint64) for x in rows["hashes"]]
+    edges = np.cumsum([0, *map(len, hashes)])
+    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    table = np.bincount(at, np.concatenate([_unpress(x, np.int64) for x in rows["counts"]])).astype(np.int64)
+    out = [(block, bucket, _press(table[at[a:z]])) for block, bucket, replied, a, z in zip(rows["block"], rows["bucket"], rows["replied"], edges[:-1], edges[1:], strict=True) if replied]
+    return pd.DataFrame(out, columns=["block", "bucket", "counts"])
+
+
+def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, backoff: float = BACKOFF, min_count: int = MIN_COUNT, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """doc_id, n_scored, score: the mean natural logarithm over a document's words.
 
     A word after another scores count(pair) / count(first word) if the pair
     has min_count occurrences in the corpus (docs itself by default), else
     backoff * count(word) / number of words; a first word scores count / number.
     A word that the corpus lacks counts as seen once. Words are as written.
-    Count tables are keyed by 64-bit hashes and joined with the exploded
-    pairs of all documents, each pair once for each document. Null and blank
-    texts have n_scored 0 and a null score. Rows are told apart by id and
-    text; equal rows are scored each.
+    Null and blank texts have n_scored 0 and a null score. Each row gets a row,
+    equal ones too, null ids as they are. Other columns are left out.
     """
-    corpus = docs if corpus is None else corpus
-
-    def pairs(d: DataFrame, *keys) -> DataFrame:
-        w = words(F.col(text))
-        hashed = d.select(*keys, F.transform(w, lambda x: F.xxhash64(x)).alias("__h"))
-        return hashed.select(*keys, F.explode(F.transform("__h", lambda x, i: F.struct(F.when(i > 0, F.get(F.col("__h"), i - 1)).alias("v"), x.alias("w")))).alias("g")).select(*keys, "g.v", "g.w")
-
-    counts = pairs(corpus).groupBy("v", "w").agg(F.count("*").alias("c"))
-    single = counts.groupBy("w").agg(F.sum("c").alias("c1"))
-    total = single.agg(F.coalesce(F.sum("c1"), F.lit(0)).alias("total"))
-    table = counts.filter(F.col("v").isNotNull() & (F.col("c") >= min_count)).join(single.select(F.col("w").alias("v"), F.col("c1").alias("cv")), "v").select("v", "w", F.log(F.col("c") / F.col("cv")).alias("s2"))
-
-    key = [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("__t")]
-    asked = pairs(docs.select(*key, text), "doc_id", "__t").groupBy("doc_id", "__t", "v", "w").agg(F.count("*").alias("tf"))
-    met = asked.join(table, ["v", "w"], "left")
-    one = F.log(F.coalesce(F.col("c1"), F.lit(1)) / F.greatest(F.col("total"), F.lit(1)) * F.when(F.col("v").isNull(), 1.0).otherwise(backoff))
-    rest = met.filter("s2 is null").join(single, "w", "left").join(F.broadcast(total)).select("doc_id", "__t", "tf", one.alias("s"))
-    scored = met.filter("s2 is not null").select("doc_id", "__t", "tf", F.col("s2").alias("s")).unionByName(rest)
-    copies = docs.select(*key).groupBy("doc_id", "__t").agg(F.count("*").alias("__n"))
-    sums = scored.groupBy("doc_id", "__t").agg(F.sum(F.col("tf") * F.col("s")).alias("sum"), F.sum("tf").alias("n"))
-    rows = docs.select(*key)
-    joined = rows.alias("r").join(sums.join(copies, (sums["doc_id"].eqNullSafe(copies["doc_id"])) & (sums["__t"] == copies["__t"])).select(sums["doc_id"].alias("i"), sums["__t"].alias("t"), "sum", "n", "__n"), F.col("r.doc_id").eqNullSafe(F.col("i")) & (F.col("r.__t") == F.col("t")), "left")
-    return joined.select(F.col("r.doc_id").alias("doc_id"), F.coalesce((F.col("n") / F.col("__n")).cast("long"), F.lit(0)).alias("n_scored"), (F.col("sum") / F.col("n")).alias("score"))
+    asking = _blocks(docs, doc_id, text, block_words)
+    counting = asking if corpus is None else _blocks(corpus, doc_id, text, block_words)
+    size = lambda d: d.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    total = size(counting)
+    n_buckets = 1 + (total if corpus is None else total + size(asking)) // bucket_words
+    asked = _asked(asking, n_buckets, corpus is None, True)
+    if corpus is not None:
+        asked = asked.unionByName(_asked(counting, n_buckets, True, False))
+    answers = asked.groupBy("bucket").applyInPandas(_answer, "block long, bucket long, counts binary")
+    id_type = docs.schema[doc_id].dataType.simpleString()
+
+    def score(block: pa.Table, replies: pa.Table) -> pa.Table:
+        g = Grams(block.column("body")[0].as_py())
+        parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True))
+        counts = np.concatenate([np.empty(0, np.int64), *[_unpress(x, np.int64) for _, x in parts]])
+        n = g.lengths
+        means = g.sums(counts, total, backoff, min_count) / np.maximum(n, 1)
+        return pa.table({"doc_id": block.column("ids").combine_chunks().flatten(), "n_scored": pa.array(n, pa.int64()), "score": pa.array(means, pa.float64(), mask=n == 0)})
+
+    return asking.select("block", "ids", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {id_type}, n_scored long, score double")
 
 
 def op7_stupid_backoff(spark, sf_dir: str) -> DataFrame:

@@ -139,3 +139,20 @@ def test_pipeline_stages(spark):
     once = docs.limit(5)
     kept = corpus_pipeline.near_copies(spark, once.union(once), SF)
     assert kept.count() <= 5 and kept.columns == columns
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_backoff_equals_plain_counts_in_small_blocks(spark, own):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("a b c d é zz\x85y".split(" "), k=rng.randrange(12))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    known = texts if own else texts[:20]
+    corpus = None if own else docs.filter("doc_id < 20")
+    one = Counter(w for t in known for w in t.split(" ") if w)
+    two = Counter(p for t in known for p in zip(t.split(" "), t.split(" ")[1:], strict=False))
+    total = sum(one.values())
+    for r in backoff.backoff_scores(docs, corpus, block_words=25, bucket_words=30).collect():
+        w = [x for x in texts[r["doc_id"]].split(" ") if x]
+        s = [np.log(two[p] / one[p[0]]) if i and two[p] >= backoff.MIN_COUNT else np.log(max(one[x], 1) / total * (backoff.BACKOFF if i else 1)) for i, (x, p) in enumerate(zip(w, zip([None, *w], w, strict=False), strict=False))]
+        assert r["n_scored"] == len(w)
+        assert r["score"] == (pytest.approx(np.mean(s)) if w else None)
