@@ -28,11 +28,11 @@ BACKOFF = 0.4
 #: A pair of words counts from so many occurrences in the corpus on; a rarer one backs off to its second word.
 MIN_COUNT = 2
 #: Words after which a block is closed; a longer document is a block of its own. About 100 bytes of memory for each.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: Documents after which a block is closed, however short they are.
 BLOCK_DOCS = 100_000
 #: Words of the corpus to a bucket: it holds at most two hashes for each.
-BUCKET_WORDS = 3_000_000
+BUCKET_WORDS = 1_500_000
 
 
 def _press(a: np.ndarray) -> bytes:
