@@ -7,7 +7,7 @@ minimiser occurrence, known by the minimiser's hash and its own (128 bits
 together); chunks that occur twice as a whole are settled by a count. The
 others meet in the index family of their minimiser: each batch gets a suffix
 array, is merge-scanned against the levels, and joins them; levels of a size
-are merged.
+are merged. Texts lie in compressed blocks; what is found goes to the block.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,11 @@ from nearfield.scratch import materialise
 LENGTH = 200
 SEED = 64
 BATCH = 64
+#: Bytes of text and documents after which a block is closed; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
+BLOCK_DOCS = 50_000
+#: Chunk rows that are handed on at once.
+ROWS = 50_000
 
 
 def _doubling(x: np.ndarray, width: int, join) -> np.ndarray:
@@ -121,29 +129,70 @@ def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
         yield first, last - first + 1
 
 
-def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """texts (k1, k2: key of a text; data: binary), one row for each document -> (k1, k2, start, n): runs of starts of strings that occur twice."""
+def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(block, ids, lengths, body): ids and bytes of documents; null texts are empty."""
+    id_type = docs.schema[doc_id].dataType.simpleString()
+
+    def pack(batches):
+        block, ids, texts, size = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def row(kind):
+            columns = {"block": pa.array([block], pa.int64()), "ids": pa.array([ids], pa.list_(kind)), "lengths": pa.array([[*map(len, texts)]], pa.list_(pa.int32())), "body": pa.array([zstandard.compress(b"".join(texts))], pa.binary())}
+            return pa.RecordBatch.from_pydict(columns)
+
+        for b in batches:
+            kind = b.column(0).type
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i), texts.append(t)
+                size += len(t)
+                if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+                    yield row(kind)
+                    block, ids, texts, size = block + 1, [], [], 0
+        if ids:
+            yield row(kind)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    return materialise(rows.mapInArrow(pack, f"block long, ids array<{id_type}>, lengths array<int>, body binary"), "texts")
+
+
+def _texts(lengths, body: bytes) -> list[bytes]:
+    data, ends = zstandard.decompress(body), np.cumsum(lengths, dtype=np.int64)
+    return [data[z - n : z] for z, n in zip(ends.tolist(), lengths, strict=True)]
+
+
+def repeated_starts(blocks: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Blocks of texts -> (block, i: place of the text in it, start, n): runs of starts of strings that occur twice."""
 
     def cut(batches):
+        frame = lambda rows: pd.DataFrame(rows, columns=["block", "i", "anchor", "start", "n", "chunk"])
         for b in batches:
-            rows = []
-            for k1, k2, data in zip(b["k1"], b["k2"], b["data"], strict=True):
-                for a, s, n in zip(*chunks(data, length), strict=True):
-                    rows.append((k1, k2, int(a), int(s), int(n), xxhash.xxh3_64_intdigest(data[s : s + n + length - 1]) - (1 << 63)))
-            yield pd.DataFrame(rows, columns=["k1", "k2", "anchor", "start", "n", "chunk"])
-
-    found = materialise(texts.mapInPandas(cut, "k1 long, k2 long, anchor long, start int, n int, chunk long"), "chunks")
-    by_anchor = found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("chunk") != F.max("chunk")).alias("mixed")).filter("times > 1").select("anchor", "mixed")
-    met = materialise(found.join(by_anchor, "anchor"), "met")
-    counts = materialise(met.filter("mixed").groupBy("anchor", "chunk").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("place")), "chunk-counts")
-    twice = met.filter("mixed").join(counts.filter("times > 1").select("anchor", "chunk"), ["anchor", "chunk"], "left_semi")
-    whole = met.filter("not mixed").unionByName(twice.select(*met.columns)).select("k1", "k2", "start", "n")
+            for block, lengths, body in zip(b["block"], b["lengths"], b["body"], strict=True):
+                rows = []
+                for i, data in enumerate(_texts(lengths, body)):
+                    for a, s, n in zip(*(x.tolist() for x in chunks(data, length)), strict=True):
+                        rows.append((block, i, a, s, n, xxhash.xxh3_64_intdigest(data[s : s + n + length - 1]) - (1 << 63)))
+                    if len(rows) >= ROWS:
+                        yield frame(rows)
+                        rows = []
+                yield frame(rows)
+
+    found = materialise(blocks.select("block", "lengths", "body").mapInPandas(cut, "block long, i int, anchor long, start int, n int, chunk long"), "chunks")
+    by_anchor = found.groupBy("anchor").count().filter("count > 1").select("anchor")
+    met = materialise(found.join(by_anchor, "anchor", "left_semi"), "met")
+    counts = materialise(met.groupBy("anchor", "chunk").agg(F.count("*").alias("times"), F.min(F.struct("block", "i", "start", "n")).alias("place")), "chunk-counts")
+    whole = met.join(counts.filter("times > 1").select("anchor", "chunk"), ["anchor", "chunk"], "left_semi").select("block", "i", "start", "n")
 
     # minimisers with different chunks: one place of each chunk goes to the minimiser's family
-    wanted = counts.groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct("anchor", "place.start", "place.n")).alias("parts"))
-    one = wanted.join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "data", F.explode("parts").alias("p"))
-    bytes_of = F.substring(F.col("data"), F.col("p.start") + 1, F.col("p.n") + length - 1)
-    dealt = one.select(F.col("p.anchor").alias("anchor"), "k1", "k2", F.col("p.start").alias("start"), bytes_of.alias("bytes")).repartition("anchor").sortWithinPartitions("anchor")
+    mixed = counts.groupBy("anchor").count().filter("count > 1").select("anchor")
+    wanted = counts.join(mixed, "anchor", "left_semi").select("anchor", "place.*")
+
+    def fetch(block: pa.Table, parts: pa.Table) -> pa.Table:
+        texts = _texts(block.column("lengths")[0].as_py(), block.column("body")[0].as_py()) if len(parts) else []
+        data = [texts[i][s : s + n + length - 1] for i, s, n in zip(*(parts.column(c).to_pylist() for c in ("i", "start", "n")), strict=True)]
+        return pa.table({"anchor": parts.column("anchor"), "block": parts.column("block"), "i": parts.column("i"), "start": parts.column("start"), "bytes": pa.array(data, pa.binary())})
+
+    taken = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "anchor long, block long, i int, start int, bytes binary")
+    dealt = taken.repartition("anchor").sortWithinPartitions("anchor")
 
     def compare(batches):
         anchor, family, known, waiting = None, None, [], []
@@ -158,21 +207,21 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for b in batches:
             out = []
-            for a, k1, k2, start, data in b.itertuples(index=False):
+            for a, block, i, start, data in b.itertuples(index=False):
                 if a != anchor:
                     if family is not None:
                         out += close()
                     anchor, family, known, waiting = a, Family(length), [], []
                 waiting.append((len(known), data))
-                known.append((k1, k2, start))
+                known.append((block, i, start))
                 if len(waiting) == BATCH:
                     family.add(waiting)
                     waiting = []
-            yield pd.DataFrame(out, columns=["k1", "k2", "start", "n"])
+            yield pd.DataFrame(out, columns=["block", "i", "start", "n"])
         if family is not None:
-            yield pd.DataFrame(close(), columns=["k1", "k2", "start", "n"])
+            yield pd.DataFrame(close(), columns=["block", "i", "start", "n"])
 
-    partly = dealt.mapInPandas(compare, "k1 long, k2 long, start int, n int")
+    partly = dealt.mapInPandas(compare, "block long, i int, start int, n int")
     return whole.unionByName(partly)
 
 
@@ -184,28 +233,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     than length keep all. Equal rows are documents of their own and so lose
     everything. Other columns are left out.
     """
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(data).alias("k1"), F.xxhash64(F.lit(1), data).alias("k2"), data.alias("data"))
-    starts = repeated_starts(texts.select("k1", "k2", "data"), length).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"))
-
-    def apply(batches):
-        for b in batches:
-            spans, kept = [], []
-            for data, runs in zip(b["data"], b["runs"], strict=True):
-                merged: list[list[int]] = []
-                for r in runs if runs is not None else ():
-                    first, end = r["start"], r["start"] + r["n"] + length - 1
-                    if merged and first <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([first, end])
-                edges = [0, *(x for m in merged for x in m), len(data)]
-                kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
-                spans.append([{"start": a, "end": z} for a, z in merged])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(x) for x in b["data"]], "spans": spans, "kept": kept})
+    blocks = text_blocks(docs, doc_id, text)
+    starts = repeated_starts(blocks, length)
+
+    def apply(block: pa.Table, runs: pa.Table) -> pa.Table:
+        texts = _texts(block.column("lengths")[0].as_py(), block.column("body")[0].as_py())
+        spans: list[list[list[int]]] = [[] for _ in texts]
+        for i, first, n in sorted(zip(*(runs.column(c).to_pylist() for c in ("i", "start", "n")), strict=True)):
+            merged, end = spans[i], first + n + length - 1
+            if merged and first <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([first, end])
+        kept = []
+        for data, merged in zip(texts, spans, strict=True):
+            edges = [0, *(x for m in merged for x in m), len(data)]
+            kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        named = [[{"start": a, "end": z} for a, z in m] for m in spans]
+        return pa.table({"doc_id": block.column("ids").combine_chunks().flatten(), "n_bytes": pa.array(map(len, texts), pa.int64()), "spans": pa.array(named, kind), "kept": pa.array(kept, pa.binary())})
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    out = texts.join(starts, ["k1", "k2"], "left").select("doc_id", "data", "runs").mapInPandas(apply, f"doc_id {id_type}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    out = blocks.groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(apply, f"doc_id {id_type}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "kept")
 
 
