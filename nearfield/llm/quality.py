@@ -1,7 +1,9 @@
-"""Quality rules: counts of words, symbols, lines and repeats, then divergence from the language's usual histograms."""
+"""Quality rules: counts of words, symbols, lines and repeats, then divergence from the language's fixed histograms."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,24 @@ CLASSES = ["upper", "lower", "digit", "mark", "space"]
 WINDOW = 5
 #: Fewer words than this: the histogram of a text says little, and no verdict is given on it.
 MIN_WORDS = 30
-#: Texts of a language that a reference is made of, at least.
-MIN_REFERENCE = 20
-#: References of up to so many languages (about 200 bytes each) are sent to every executor.
-MAX_BROADCAST_REFERENCES = 10_000
-MAX_CLASS_DIVERGENCE = 0.15
-MAX_WORD_DIVERGENCE = 0.35
+#: Fixed references: mean shares of the character classes (CLASSES) and of COMMON_WORDS, in their order, over the
+#: texts of testdata/sf0.1 that pass the base rules and have MIN_WORDS words (en 5448, es 840, fr 1354, de 1341).
+CLASS_REFERENCES = {
+    "en": [0.0143, 0.7798, 0.0011, 0.0392, 0.1655],
+    "es": [0.0140, 0.7828, 0.0008, 0.0427, 0.1597],
+    "fr": [0.0146, 0.7801, 0.0018, 0.0384, 0.1651],
+    "de": [0.0130, 0.7948, 0.0008, 0.0378, 0.1536],
+}
+WORD_REFERENCES = {
+    "en": [0.0462, 0.0243, 0.0200, 0.0146, 0.0101, 0.0090, 0.0078, 0.0067, 0.0049, 0.0057, 0.0064, 0.0041],
+    "es": [0.0464, 0.0237, 0.0187, 0.0132, 0.0117, 0.0095, 0.0084, 0.0071, 0.0061, 0.0070, 0.0055, 0.0056],
+    "fr": [0.0467, 0.0252, 0.0186, 0.0136, 0.0115, 0.0106, 0.0090, 0.0080, 0.0071, 0.0061, 0.0053, 0.0043],
+    "de": [0.0455, 0.0235, 0.0191, 0.0145, 0.0120, 0.0101, 0.0085, 0.0080, 0.0065, 0.0065, 0.0052, 0.0053],
+}
+#: Over the largest class divergence of a text labelled good on sf0.1 (0.085), under that of symbol junk (0.10 to 0.13).
+MAX_CLASS_DIVERGENCE = 0.1
+#: The word limit, as a share of the distance (root of the divergence) at which a text without common words lies.
+MAX_WORD_DISTANCE = 0.9
 
 
 def bind(value: Column, use) -> Column:
@@ -86,12 +100,12 @@ def _measured(docs: DataFrame, text: str, lang: str | None, keep: list[str]) ->
     return d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def shares(d: DataFrame, lang: str) -> DataFrame:
+def shares(d: DataFrame) -> DataFrame:
     """The two histograms as shares that sum to 1: __c0 to __c4 over characters, __f0 to __f12 over words."""
     chars, n = F.greatest(F.col("__chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     counts = {"upper": F.col("__upper"), "lower": F.col("__letters") - F.col("__upper"), "digit": F.col("__digit"), "mark": F.col("word_chars") - F.col("__letters") - F.col("__digit"), "space": F.col("__chars") - F.col("word_chars")}
     d = d.withColumns({f"__c{i}": counts[k] / chars for i, k in enumerate(CLASSES)} | {f"__f{k}": F.col("__found")[k] / n for k in range(N_COMMON)})
-    return d.withColumns({f"__f{N_COMMON}": 1 - sum((F.col(f"__f{k}") for k in range(1, N_COMMON)), F.col("__f0")), "__lang": F.coalesce(F.concat(F.lit("0"), F.col(lang)), F.lit("1"))})
+    return d.withColumns({f"__f{N_COMMON}": 1 - sum((F.col(f"__f{k}") for k in range(1, N_COMMON)), F.col("__f0"))})
 
 
 def jensen_shannon(p: list[Column], q: list[Column]) -> Column:
@@ -101,29 +115,36 @@ def jensen_shannon(p: list[Column], q: list[Column]) -> Column:
     return sum(terms[1:], terms[0]) / 2
 
 
-def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, max_class_divergence: float = MAX_CLASS_DIVERGENCE, max_word_divergence: float = MAX_WORD_DIVERGENCE) -> DataFrame:
+def without_common_words(lang: str) -> float:
+    """Word divergence of a text that holds none of its language's common words."""
+    rest = 1 - sum(WORD_REFERENCES[lang])
+    return (1 - rest + math.log2(2 / (1 + rest)) + rest * math.log2(2 * rest / (1 + rest))) / 2
+
+
+def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, max_class_divergence: float = MAX_CLASS_DIVERGENCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """docs without the text, with the counts, class_divergence, word_divergence and kept.
 
-    The reference of a language is the mean histogram of all its texts that
-    pass the base rules and have ``min_words`` words. A text is dropped if the
-    base rules fail, or if it has ``min_words`` words and a Jensen-Shannon
-    divergence (bits) from its reference over the limits. Where there is no
-    reference (fewer than MIN_REFERENCE texts, or for words a language
-    without a list) the divergence is null and does not count. A null
-    language is a language of its own. Other columns pass through.
+    References are fixed, so a verdict depends on the text and its language
+    alone. A text is dropped if the base rules fail, or if it has
+    ``min_words`` words and its Jensen-Shannon divergence (bits) from the
+    reference is over a limit: max_class_divergence for characters, and for
+    words ``max_word_distance`` of the distance at which a text without any
+    common word lies. A language without a list, or null, has the mean of the
+    class references, and a null word divergence that does not count; so have
+    shorter texts. Other columns pass through.
     """
     d = materialise(_measured(docs, text, lang, [c for c in docs.columns if c != text]), "quality")
-    d = shares(d, lang)
-    bins = [f"__c{i}" for i in range(len(CLASSES))] + [f"__f{k}" for k in range(N_COMMON + 1)]
-    usual = d.filter(~F.col("base_failed") & (F.col("n_words") >= min_words)).groupBy("__lang").agg(*[F.avg(b).alias(f"{b}_r") for b in bins], F.count("*").alias("__texts"))
-    usual = materialise(usual.filter(F.col("__texts") >= MIN_REFERENCE), "references")
-    few = usual.count() <= MAX_BROADCAST_REFERENCES  # else a shuffled join, which adaptive execution splits
-    both = d.join(F.broadcast(usual) if few else usual, "__lang", "left")
-    apart = lambda names: F.when(F.col("n_words") >= min_words, jensen_shannon([F.col(b) for b in names], [F.col(f"{b}_r") for b in names]))
-    both = both.withColumns({"class_divergence": F.when(F.col("__texts").isNotNull(), apart(bins[:5])), "word_divergence": F.when(F.col("__texts").isNotNull() & F.col("__found").isNotNull(), apart(bins[5:]))})
-    far = (F.coalesce(F.col("class_divergence"), F.lit(0.0)) > max_class_divergence) | (F.coalesce(F.col("word_divergence"), F.lit(0.0)) > max_word_divergence)
-    both = both.withColumn("kept", ~F.col("base_failed") & ~far)
-    return both.select(*[c for c in both.columns if not c.startswith("__")])
+    d = shares(d)
+    classes, found = [f"__c{i}" for i in range(len(CLASSES))], [f"__f{k}" for k in range(N_COMMON + 1)]
+    by_lang = lambda table: F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.coalesce(F.col(lang), F.lit("")))
+    mean = F.array(*[F.lit(sum(x) / len(CLASS_REFERENCES)) for x in zip(*CLASS_REFERENCES.values(), strict=True)])
+    whole = {k: [*v, 1 - sum(v), max_word_distance**2 * without_common_words(k)] for k, v in WORD_REFERENCES.items()}
+    d = d.withColumns({"__cr": F.coalesce(by_lang(CLASS_REFERENCES), mean), "__fr": by_lang(whole)})
+    apart = lambda names, r: F.when(F.col("n_words") >= min_words, jensen_shannon([F.col(b) for b in names], [F.col(r)[i] for i in range(len(names))]))
+    d = d.withColumns({"class_divergence": apart(classes, "__cr"), "word_divergence": F.when(F.col("__fr").isNotNull(), apart(found, "__fr"))})
+    far = (F.coalesce(F.col("class_divergence"), F.lit(0.0)) > max_class_divergence) | F.coalesce(F.col("word_divergence") > F.col("__fr")[N_COMMON + 1], F.lit(False))
+    d = d.withColumn("kept", ~F.col("base_failed") & ~far)
+    return d.select(*[c for c in d.columns if not c.startswith("__")])
 
 
 def op6_divergence(spark, sf_dir: str) -> DataFrame:

@@ -156,3 +156,17 @@ def test_backoff_equals_plain_counts_in_small_blocks(spark, own):
         s = [np.log(two[p] / one[p[0]]) if i and two[p] >= backoff.MIN_COUNT else np.log(max(one[x], 1) / total * (backoff.BACKOFF if i else 1)) for i, (x, p) in enumerate(zip(w, zip([None, *w], w, strict=False), strict=False))]
         assert r["n_scored"] == len(w)
         assert r["score"] == (pytest.approx(np.mean(s)) if w else None)
+
+
+def test_text_without_common_words_is_dropped(spark):
+    rng = random.Random(4)
+    rare = " ".join(f"{rng.choice('bcdfg')}{''.join(rng.choices('aeiou', k=5))}{i:x}" for i in range(60)).translate(str.maketrans("0123456789", "qrstvwxyzk"))
+    usual = rare.split()
+    for i, w in enumerate(["the"] * 4 + ["of"] * 2 + ["and", "to", "in", "is"]):
+        usual[6 * i] = w
+    junk = " ".join(["Ofthstrent###", "|", "thoner$$$", "---|---", "%%<>"][i % 5] + "#$|"[i % 3] * (i // 5) for i in range(40))
+    rows = [(1, rare, "en"), (2, " ".join(usual), "en"), (3, rare, "xx"), (4, " ".join(rare.split()[:20]), "en"), (5, rare, "de"), (6, junk, None)]
+    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: False}
+    assert got[1].word_divergence == pytest.approx(quality.without_common_words("en")) and got[4].word_divergence is None
