@@ -330,10 +330,11 @@ def _links(radius: int, lanes: int):
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = Spec(), bucket_limit: int = BUCKET_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, thash (XXH64 of the text, 0 if null), fp (lanes), component_id.
+    """One row per document: doc_id, thash (XXH64 of the text, 0 if null), fp (lanes), component_id, root.
 
     component_id is the smallest id reachable over links; where no document
-    of a class has an id it is null. Null and blank texts have the zero
+    of a class has an id it is null, and where ids repeat two classes may
+    share it. root is of one class alone. Null and blank texts have the zero
     fingerprint and link like any other. Equal rows stay. An empty table
     gives an empty result. Further columns of docs are not carried.
     """
@@ -343,7 +344,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), bucket_limit: int = BU
 
 
 def cluster(marked: DataFrame, spec: Spec, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """marked (doc_id, fp and more) with component_id."""
+    """marked (doc_id, fp and more) with component_id, and root: the name of the class, also where it has no id."""
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     keyed = buckets(nodes.select("fp"), spec, bucket_limit)
     sorted_rows = keyed.repartition("key").sortWithinPartitions("key")
@@ -355,7 +356,7 @@ def cluster(marked: DataFrame, spec: Spec, bucket_limit: int = BUCKET_LIMIT) ->
     named = nodes.withColumn("name", name("fp")).join(roots.withColumnRenamed("node", "name"), "name", "left")
     named = named.withColumn("root", F.coalesce("root", "name"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    table = named.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
     return marked.join(table, "fp")
 
 
@@ -369,9 +370,7 @@ def keep_one(docs: DataFrame, spec: Spec = NEAR_COPIES, doc_id: str = "doc_id",
 
 def _keep_one(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "thash")
-    # a class is named by its least id; classes without any id by their fingerprint
-    klass = F.coalesce(F.concat(F.lit("i"), F.col("component_id").cast("string")), F.concat(F.lit("f"), F.to_json("fp")))
-    best = found.groupBy(klass.alias("klass")).agg(F.min(rank).alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.thash").alias("__th"))
+    best = found.groupBy("root").agg(F.min(rank).alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.thash").alias("__th"))
     thash = F.coalesce(F.when(F.col(text).isNotNull(), F.xxhash64(text)), F.lit(0))
     d = docs.withColumn("__thash", thash)
     d = d.join(best, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__thash") == F.col("__th")), "left_semi")

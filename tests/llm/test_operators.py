@@ -170,3 +170,13 @@ def test_text_without_common_words_is_dropped(spark):
     assert not any(r.base_failed for r in got.values())
     assert {i: r.kept for i, r in got.items()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: False}
     assert got[1].word_divergence == pytest.approx(quality.without_common_words("en")) and got[4].word_divergence is None
+
+
+def test_one_of_each_class_with_repeated_and_missing_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    a, b, c = text(), text(), text()
+    rows = [(7, a), (7, b), (8, a + " end"), (None, c), (None, c + " end"), (None, c), (9, None), (9, " ")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = Counter((r.doc_id, (r.text or "").removesuffix(" end").strip()) for r in got)
+    assert kept == {(7, a): 1, (7, b): 1, (None, c): 1, (9, ""): 1}
