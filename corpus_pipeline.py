@@ -23,7 +23,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares about 0.8 of its five-word shingles or more."""
+    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more."""
     return simhash.keep_one(docs, simhash.NEAR_COPIES)
 
 

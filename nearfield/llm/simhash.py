@@ -42,6 +42,8 @@ class Spec:
     """Shingles of so many words; fingerprints of so many 64-bit lanes; links at radius or fewer differing bits.
 
     tables 0: pigeonhole, exact. Else so many bit groups of ``bits`` bits.
+    jaccard over 0: fingerprints are of the distinct shingles and only find
+    candidates; a link needs that similarity of the shingle sets themselves.
     """
 
     shingle: int = 4
@@ -50,11 +52,14 @@ class Spec:
     tables: int = 0
     bits: int = 0
     seed: int = 42
+    jaccard: float = 0.0
 
 
-#: Five-word shingles at a Jaccard similarity of about 0.8 or more: there the fingerprints differ in 15 % of
-#: their bits, and 60 groups of 16 bits meet with a chance of 0.99.
-NEAR_COPIES = Spec(shingle=5, lanes=4, radius=42, tables=60, bits=16)
+#: Five-word shingles at a Jaccard similarity of 0.8 or more. There the fingerprints differ in 39 of 256 bits with a
+#: deviation of 6; 60 groups of 12 bits meet with a chance of 0.9998 at 39 bits, 0.986 at 50 and 0.898 at the radius.
+NEAR_COPIES = Spec(shingle=5, lanes=4, radius=60, tables=60, bits=12, jaccard=0.8)
+#: Shingle sets that are compared at a time: a larger group of candidates is dealt over pairs of parts.
+COMPARED = 4096
 
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
@@ -70,21 +75,31 @@ def _lanes(h: np.ndarray, lanes: int) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(text: bytes | None, spec: Spec) -> list[int]:
-    """Lanes of one text's fingerprint; a bit is set if over half of the shingle hashes have it."""
+def shingles(text: bytes | None, spec: Spec) -> np.ndarray:
+    """Hashes of a text's shingles in order; a text of fewer words is one shingle, one without words has none."""
     w = text.lower().split() if text else []  # of bytes: A-Z alone, and the six ASCII spaces
     if not w:
-        return [0] * spec.lanes
+        return np.empty(0, dtype=np.uint64)
     joined, k = b" ".join(w), spec.shingle
-    ends = list(accumulate(map(len, w)))
     if len(w) <= k:
-        h = [xxhash.xxh64_intdigest(joined, spec.seed)]
-    else:
-        starts = [0, *(e + i + 1 for i, e in enumerate(ends))]
-        stops = [e + i for i, e in enumerate(ends)]
-        h = [xxhash.xxh64_intdigest(joined[a:b], spec.seed) for a, b in zip(starts, stops[k - 1 :], strict=False)]
+        return np.array([xxhash.xxh64_intdigest(joined, spec.seed)], dtype=np.uint64)
+    ends = list(accumulate(map(len, w)))
+    starts = [0, *(e + i + 1 for i, e in enumerate(ends))]
+    stops = [e + i for i, e in enumerate(ends)]
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], spec.seed) for a, b in zip(starts, stops[k - 1 :], strict=False)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None, spec: Spec) -> list[int]:
+    """Lanes of one text's fingerprint; a bit is set if over half of the shingle hashes have it."""
+    h = shingles(text, spec)
+    return _majority(np.unique(h) if spec.jaccard else h, spec)
+
+
+def _majority(h: np.ndarray, spec: Spec) -> list[int]:
     n, out = len(h), []
-    for lane in _lanes(np.array(h, dtype=np.uint64), spec.lanes):
+    if not n:
+        return [0] * spec.lanes
+    for lane in _lanes(h, spec.lanes):
         ones = np.zeros(64, dtype=np.int64)
         for at in range(0, n, 1 << 16):
             part = lane[at : at + (1 << 16)]
@@ -103,6 +118,19 @@ def fingerprints(text: Column, spec: Spec) -> Column:
     return make(text.cast("binary"))
 
 
+def fingerprints_and_digests(text: Column, spec: Spec) -> Column:
+    """struct of fp, the lanes, and digest, a hash of the set of shingles (0 without words)."""
+
+    @F.pandas_udf("fp array<bigint>, digest bigint")
+    def make(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingles(t, spec)) for t in texts]
+        fps = [np.array(_majority(h, spec), dtype=np.uint64).view(np.int64) for h in sets]
+        digests = np.array([xxhash.xxh64_intdigest(h.tobytes()) if len(h) else 0 for h in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": fps, "digest": digests})
+
+    return make(text.cast("binary"))
+
+
 # ---- buckets
 
 
@@ -339,6 +367,10 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), bucket_limit: int = BU
     gives an empty result. Further columns of docs are not carried.
     """
     thash = F.coalesce(F.when(F.col(text).isNotNull(), F.xxhash64(text)), F.lit(0))
+    if spec.jaccard:
+        made = docs.select(F.col(doc_id).alias("doc_id"), thash.alias("thash"), fingerprints_and_digests(F.col(text), spec).alias("f"))
+        marked = materialise(made.select("doc_id", "thash", "f.fp", "f.digest"), "fingerprints")
+        return cluster_sets(marked, docs.select(thash.alias("thash"), F.col(text).alias("text")), spec, bucket_limit)
     marked = materialise(docs.select(F.col(doc_id).alias("doc_id"), thash.alias("thash"), fingerprints(F.col(text), spec).alias("fp")), "fingerprints")
     return cluster(marked, spec, bucket_limit)
 
@@ -346,6 +378,11 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), bucket_limit: int = BU
 def cluster(marked: DataFrame, spec: Spec, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """marked (doc_id, fp and more) with component_id, and root: the name of the class, also where it has no id."""
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    return marked.join(_least_of_class(_rooted(nodes, spec, bucket_limit), "fp"), "fp")
+
+
+def _rooted(nodes: DataFrame, spec: Spec, bucket_limit: int) -> DataFrame:
+    """nodes (fp and more) with root, the same for fingerprints that links within the radius connect."""
     keyed = buckets(nodes.select("fp"), spec, bucket_limit)
     sorted_rows = keyed.repartition("key").sortWithinPartitions("key")
     raw = sorted_rows.select("key", "fp").mapInArrow(_links(spec.radius, spec.lanes), "a array<bigint>, b array<bigint>")
@@ -354,10 +391,100 @@ def cluster(marked: DataFrame, spec: Spec, bucket_limit: int = BUCKET_LIMIT) ->
     links = raw.select(name("a").alias("a"), name("b").alias("b")).distinct()
     roots = connected_components(links)
     named = nodes.withColumn("name", name("fp")).join(roots.withColumnRenamed("node", "name"), "name", "left")
-    named = named.withColumn("root", F.coalesce("root", "name"))
+    return named.withColumn("root", F.coalesce("root", "name")).drop("name")
+
+
+def _least_of_class(named: DataFrame, key: str) -> DataFrame:
+    """(key, component_id, root) of nodes (key, least, root)."""
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = named.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
-    return marked.join(table, "fp")
+    return named.select(key, "root").join(least, "root").select(key, "component_id", "root")
+
+
+def cluster_sets(marked: DataFrame, texts: DataFrame, spec: Spec, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """marked (doc_id, thash, fp, digest) with component_id and root, by links of ``spec.jaccard`` or more.
+
+    A node is a distinct set of shingles. Fingerprints within the radius make
+    groups of candidates; inside a group every pair of sets that is not yet
+    in one class is compared exactly, whatever its distance in bits. One text
+    (thash, text) of each candidate is read for that. A group of over
+    COMPARED sets is dealt in parts, and each two parts meet in one task.
+    """
+    nodes = materialise(marked.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("thash").alias("thash"), F.min("doc_id").alias("least")), "nodes")
+    # equal sets have equal fingerprints; the reverse need not hold
+    named = _rooted(nodes.select("fp").distinct(), spec, bucket_limit).withColumnRenamed("root", "wide")
+    named = materialise(nodes.select("fp", "digest", "thash").join(named, "fp").select("digest", "thash", "wide"), "candidates")
+    groups = named.groupBy("wide").agg(F.ceil(F.count("*") / COMPARED).cast("int").alias("deal"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    part = F.pmod(F.xxhash64("digest"), F.col("deal")).cast("int")
+    rows = named.join(groups, "wide").withColumn("i", part)
+    others = F.when(F.col("deal") > 1, F.filter(F.sequence(F.lit(0), F.col("deal") - 1), lambda j: j != F.col("i"))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("j", F.explode(others)).select("digest", "thash", F.xxhash64("wide", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
+    rows = materialise(rows, "compared")
+    one = texts.join(rows.select("thash").distinct(), "thash", "left_semi").dropDuplicates(["thash"])
+    sets = rows.join(one, "thash").select("g", "digest", F.col("text").cast("binary").alias("text"))
+    links = sets.repartition("g").sortWithinPartitions("g").mapInArrow(_set_links(spec), "a bigint, b bigint")
+    roots = connected_components(links.distinct()).withColumnRenamed("node", "digest")
+    rooted = nodes.select("digest", "least").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    return marked.join(_least_of_class(rooted, "digest"), "digest").drop("digest")
+
+
+def alike(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
+    """parent of each set (distinct hashes): the first of its class among links of that Jaccard similarity or more.
+
+    Every set that is in no class yet is held against all; then all sets
+    outside the largest class are. A link has an end there or lies inside the
+    largest class, so none is lost.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True) if len(owner) else (None, np.empty(0, dtype=np.int64))
+    starts, parent = np.cumsum(sizes) - sizes, np.arange(len(sets))
+    has = np.zeros(len(owner) + 1, dtype=bool)
+    probed = np.zeros(len(sets), dtype=bool)
+
+    def probe(i: int, parent: np.ndarray) -> np.ndarray:
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        has[own] = True
+        both = np.bincount(owner[has[codes]], minlength=len(sets))
+        has[own] = False
+        probed[i] = True
+        near = np.flatnonzero((both > 0) & (both >= jaccard * (sizes + sizes[i] - both) - 1e-9))
+        return _unite(parent, np.full(len(near), i), near)
+
+    joined = np.zeros(len(sets), dtype=bool)
+    for i in range(len(sets)):
+        if not joined[i]:
+            parent = probe(i, parent)
+            joined |= parent == parent[i]
+    largest = np.bincount(parent).argmax()
+    for i in np.flatnonzero((parent != largest) & ~probed):
+        parent = probe(i, parent)
+    return parent
+
+
+def _set_links(spec: Spec):
+    """Arrow batches (g, digest, text) sorted by g -> links between digests; a group may run over batches."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def emit(digests: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(digests) > 1:
+            parent = alike([np.unique(shingles(t, spec)) for t in texts], spec.jaccard)
+            child = np.flatnonzero(parent != np.arange(len(parent)))
+            if len(child):
+                d = np.array(digests, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(d[child]), pa.array(d[parent[child]])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, digests, texts = None, [], []
+        for batch in batches:
+            for g, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    yield from emit(digests, texts)
+                    group, digests, texts = g, [], []
+                digests.append(digest)
+                texts.append(text)
+        yield from emit(digests, texts)
+
+    return run
 
 
 def keep_one(docs: DataFrame, spec: Spec = NEAR_COPIES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -180,3 +180,38 @@ def test_one_of_each_class_with_repeated_and_missing_ids(spark):
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     kept = Counter((r.doc_id, (r.text or "").removesuffix(" end").strip()) for r in got)
     assert kept == {(7, a): 1, (7, b): 1, (None, c): 1, (9, ""): 1}
+
+
+def test_near_copies_equal_exact_jaccard(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in (30, 80, 150, 300):
+        for _ in range(15):
+            base = text(n)
+            texts.append(" ".join(base))
+            for _ in range(4):  # from nearly the same to a similarity of about 0.5
+                new = list(base)
+                for at in rng.sample(range(n), rng.randrange(1, 2 + n // 15)):
+                    new[at] = "x" + new[at]
+                texts.append(" ".join(new))
+    repeated = " ".join(["a b c d e"] * 100)  # one common shingle set, many times; the rest differs
+    texts += [repeated + " " + " ".join(text(60)) for _ in range(2)] + ["", " ", "one two three"] * 2
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if (w := t.split()) else frozenset() for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.NEAR_COPIES).collect()}
+    assert got == dict(enumerate(root))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root)
+
+
+def test_parts_of_a_large_group_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMPARED", 3)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 190 + i])) for i in range(10)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicates(docs, simhash.NEAR_COPIES).collect()} == {0}
