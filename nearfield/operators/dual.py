@@ -16,8 +16,8 @@ def dual_sign(embeddings: DataFrame, family: int = 0, rotation: Rotation | None
     return embeddings.select(key, dual_hash(F.col(vector), family, rotation).alias("h")).select(key, "h.hash_a", "h.hash_b")
 
 
-def dual_index(signed: DataFrame, n: int = 32, key: str = "vec_id") -> DataFrame:
-    """(key, band, value, a, b): one row for each of n pieces of hash_a. Fewer pieces: fewer candidates, less recall."""
+def dual_index(signed: DataFrame, n: int = 64, key: str = "vec_id") -> DataFrame:
+    """(key, band, value, a, b): one row for each of n pieces of hash_a, 64 as in the reference. Fewer pieces: fewer candidates, less recall."""
     return signed.filter(F.col("hash_a").isNotNull()).select(key, words64(F.col("hash_a"), 8).alias("a"), words64(F.col("hash_b"), 8).alias("b"), F.posexplode(bands(F.col("hash_a"), n)).alias("band", "value"))
 
 

@@ -85,3 +85,14 @@ def test_stream_goes_on_and_keeps_newer_rows(spark, tmp_path):
     spark.createDataFrame([(1, 6, 4), (2, 1, 5), (3, 1, 6)], schema).write.mode("append").parquet(source)
     assert run() == [(1, 6, 4), (2, 9, 3), (3, 1, 6)]
     assert run() == [(1, 6, 4), (2, 9, 3), (3, 1, 6)]
+
+
+def test_dual_index_has_the_bands_of_the_reference(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2, size=512).astype(bool)
+    b = a.copy()
+    b[::16] ^= True  # a bit in each piece of four digits, none in every second piece of two
+    rows = [(i, np.packbits(x).tobytes().hex(), "f" * 128) for i, x in enumerate((a, b))]
+    index = dual.dual_index(spark.createDataFrame(rows, "vec_id long, hash_a string, hash_b string"))
+    assert index.filter("vec_id = 0").count() == 64
+    assert [(r.x, r.y) for r in dual.dual_pairs(index, 0.6).collect()] == [(0, 1)]
