@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.scratch import materialise
+
 #: Turns in one rendered row. A longer conversation is rendered in parts.
 MAX_TURNS = 2048
-#: Turn numbers that a part of a longer conversation spans.
-BLOCK = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system", max_turns: int = MAX_TURNS, block: int = BLOCK) -> DataFrame:
+def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system", max_turns: int = MAX_TURNS, block: int | None = None) -> DataFrame:
     """One row for each conversation and participant: the dialogue with that participant as assistant.
 
     A participant is any speaker but ``system``; a null speaker is named
@@ -25,24 +25,20 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     turns alone has no row. A null conv_id is one conversation.
 
     A conversation of over max_turns turns is rendered in parts, numbered in
-    order: a part spans ``block`` turn numbers and, where turn numbers repeat
-    so often that this is over max_turns, a share of them by hash. All its
-    participants have a rendering of each part. Other columns are left out.
+    order: a part is a run of max_turns turns in that order (``block`` turns
+    if given, max_turns at most), the last one of the rest, whatever the turn
+    numbers are. All its participants have a rendering of each part. Other
+    columns are left out.
     """
+    run = min(block or max_turns, max_turns)
     t = turns.select(F.col(conv_id).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("unknown")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    t = t.withColumn("b", F.coalesce(F.floor(F.col("t") / block), F.lit(2**62)).cast("long"))
 
     speakers = t.groupBy("c", "r").agg(F.count("*").alias("k")).groupBy("c").agg(F.sum("k").alias("k"), F.sort_array(F.collect_set(F.when(F.col("r") != system, F.col("r")))).alias("everyone"))
-    long = speakers.filter(F.col("k") > max_turns).select(F.col("c").alias("lc"), "everyone")
-    blocks = t.groupBy("c", "b").agg(F.count("*").alias("k")).join(long, F.col("c").eqNullSafe(F.col("lc")), "left_semi")
-    blocks = blocks.withColumn("deal", F.ceil(F.col("k") / max_turns).cast("long"))
-    first = F.sum("deal").over(Window.partitionBy("c").orderBy("b")) - F.col("deal")
-    blocks = blocks.select(F.col("c").alias("bc"), F.col("b").alias("bb"), "deal", first.alias("first"))
-
-    t = t.join(blocks, F.col("c").eqNullSafe(F.col("bc")) & (F.col("b") == F.col("bb")), "left")
-    part = F.coalesce(F.col("first") + F.pmod(F.xxhash64("t", "r", "x"), F.col("deal")), F.lit(0)).cast("long")
+    long = materialise(speakers.filter(F.col("k") > max_turns).select(F.col("c").alias("lc"), "everyone"), "long")
+    same = F.col("c").eqNullSafe(F.col("lc"))
+    t = t.join(long.select("lc"), same, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(_parts(t.join(long.select("lc"), same, "left_semi"), run))
     message = F.struct(F.col("t").isNull().alias("n"), "t", "r", "x")
-    whole = t.withColumn("part", part).groupBy("c", "part").agg(F.sort_array(F.collect_list(message)).alias("m"))
+    whole = t.groupBy("c", "part").agg(F.sort_array(F.collect_list(message)).alias("m"))
     whole = whole.join(long, F.col("c").eqNullSafe(F.col("lc")), "left")
     present = F.sort_array(F.array_distinct(F.transform(F.filter("m", lambda m: m["r"] != system), lambda m: m["r"])))
     whole = whole.withColumn("perspective", F.explode(F.coalesce("everyone", present)))
@@ -62,6 +58,23 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     return whole.select(F.col("c").alias(conv_id), "perspective", "part", F.size("m").alias("n_turns"), rendered.alias("rendered"), F.aggregate("p", start, step)["spans"].alias("mask"))
 
 
+def _parts(t: DataFrame, run: int) -> DataFrame:
+    """t with part: the place of a turn in its conversation's order, by runs of ``run`` turns.
+
+    The turns are sorted over all tasks and numbered in each; a conversation's
+    counts by task are added up, so a long one is not in one task. Equal turns
+    are spread by the row they came in.
+    """
+    keys = ["c", F.col("t").isNull(), "t", "r", "x", "u"]
+    t = t.withColumn("u", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("u")
+    t = materialise(t.withColumn("id", F.monotonically_increasing_id()).withColumn("task", F.shiftright("id", 33)), "turns")
+    counts = t.groupBy("c", "task").agg(F.count("*").alias("k"), F.min("id").alias("least"))
+    before = F.sum("k").over(Window.partitionBy("c").orderBy("task")) - F.col("k")
+    counts = counts.select(F.col("c").alias("cc"), F.col("task").alias("ct"), (before - F.col("least")).alias("shift"))
+    t = t.join(counts, F.col("c").eqNullSafe(F.col("cc")) & (F.col("task") == F.col("ct")))
+    return t.select("c", "t", "r", "x", F.floor((F.col("id") + F.col("shift")) / run).cast("long").alias("part"))
+
+
 def op2_perspectives(spark, sf_dir: str) -> DataFrame:
     """Whole conversations; the mask as text, ``start:end`` joined by commas."""
     out = rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

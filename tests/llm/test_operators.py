@@ -215,3 +215,16 @@ def test_parts_of_a_large_group_meet(spark, monkeypatch):
     words = [f"w{i}" for i in range(200)]
     docs = spark.createDataFrame([(i, " ".join(words[: 190 + i])) for i in range(10)], "doc_id long, text string")
     assert {r.component_id for r in simhash.near_duplicates(docs, simhash.NEAR_COPIES).collect()} == {0}
+
+
+def test_parts_are_runs_of_turns(spark):
+    turns = [(1, 1000 * i, f"p{i % 2}", f"t{i:02d}") for i in range(20)] + [(1, None, "p0", f"u{i}") for i in range(5)] + [(1, None, "p0", "u9")] * 6 + [(2, 5, "p0", "x")]
+    rng = random.Random(7)
+    rng.shuffle(turns)
+    got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3), max_turns=8).collect()
+    order = sorted((t for t in turns if t[0] == 1), key=lambda t: (t[1] is None, t[1] or 0, t[2], t[3]))
+    for r in got:
+        if r.conv_id == 1:
+            said = [x.split("\n")[1] for x in r.rendered.split("<|im_end|>\n")[:-1]]
+            assert said == [t[3] for t in order[8 * r.part : 8 * r.part + 8]]
+    assert sorted((r.conv_id, r.part, r.n_turns, r.perspective) for r in got) == [(1, k, n, p) for k, n in enumerate((8, 8, 8, 7)) for p in ("p0", "p1")] + [(2, 0, 1, "p0")]
