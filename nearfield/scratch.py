@@ -2,8 +2,9 @@
 
 A table that later stages read more than once is written to the folder named
 by ``spark.checkpoint.dir`` and read back, so a lost executor costs a re-read
-and not a recomputation. Where that setting is absent (tests, notebooks) the
-session's warehouse folder is used.
+and not a recomputation. Where that setting is absent a local master (tests,
+notebooks) uses the session's warehouse folder; on a cluster that is an error,
+since a folder of one machine would be missed by the others.
 """
 
 from __future__ import annotations
@@ -18,7 +19,12 @@ _written: list[str] = []
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -34,7 +40,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more; what was made of them must be written already."""
+    for t in tables:
+        path = t._scratch_path
+        drop_scratch(t.sparkSession, [path])
+        _written.remove(path)
 
 
 def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
