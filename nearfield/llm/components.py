@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.scratch import materialise
+from nearfield.scratch import discard, materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = _pointed(large)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
-        edges = materialise(_pointed(small), "edges")
+        before, edges = edges, materialise(_pointed(small), "edges")
+        discard(before)
         now = _mark(edges)
         if now == mark:
             break

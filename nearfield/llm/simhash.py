@@ -4,22 +4,27 @@ Fingerprints that agree on a bucket key are laid out as bit planes, 64
 documents to a machine word, and compared a plane at a time: one XOR brings
 64 differences, a carry-save adder counts them in vertical counters, and a
 block of 64 is abandoned once every document in it is over the radius.
-Buckets come from the pigeonhole rule (any two fingerprints within the radius
-share one of radius + 1 bit groups, so no link is lost) or, for radii where
-that rule has no power, from sampled bit groups with a stated recall.
 
-Equal fingerprints are one node throughout, a bucket yields a spanning forest
-of its links and not the pairs, and a bucket of over ``bucket_limit`` nodes is
-split again by the bits that its key leaves free.
+Buckets for a small radius come from the pigeonhole rule: the bits are cut in
+radius + k groups, two fingerprints within the radius agree on k of them, and
+every k groups make a table, so no link is lost; k grows with the logarithm of
+the number of fingerprints. The radius at which shingle sets are 0.8 similar
+leaves that rule no power. There a bucket is named by two least hashes of the
+shingle set, each shared with a chance of the similarity, and what the bits
+bring together is compared exactly.
+
+Equal fingerprints (equal shingle sets) are one node throughout, a bucket
+yields a spanning forest of its links and not the pairs, a bucket of over
+``bucket_limit`` nodes is split again, and what can't be split is dealt in
+parts, of which each two meet in a task.
 """
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -29,10 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.components import connected_components
-from nearfield.scratch import materialise
+from nearfield.scratch import discard, materialise
 
 BUCKET_LIMIT = 16_384
-LEVELS = 4
+#: Times that a hot bucket is split before it is dealt in parts.
+LEVELS = 3
 #: (row, block) pairs that are compared at a time.
 CHUNK = 1 << 16
 
@@ -41,7 +47,7 @@ CHUNK = 1 << 16
 class Spec:
     """Shingles of so many words; fingerprints of so many 64-bit lanes; links at radius or fewer differing bits.
 
-    tables 0: pigeonhole, exact. Else so many bit groups of ``bits`` bits.
+    tables 0: pigeonhole, exact. Else so many tables of two least hashes each.
     jaccard over 0: fingerprints are of the distinct shingles and only find
     candidates; a link needs that similarity of the shingle sets themselves.
     """
@@ -50,15 +56,16 @@ class Spec:
     lanes: int = 1
     radius: int = 4
     tables: int = 0
-    bits: int = 0
     seed: int = 42
     jaccard: float = 0.0
 
 
-#: Five-word shingles at a Jaccard similarity of 0.8 or more. There the fingerprints differ in 39 of 256 bits with a
-#: deviation of 6; 60 groups of 12 bits meet with a chance of 0.9998 at 39 bits, 0.986 at 50 and 0.898 at the radius.
-NEAR_COPIES = Spec(shingle=5, lanes=4, radius=60, tables=60, bits=12, jaccard=0.8)
-#: Shingle sets that are compared at a time: a larger group of candidates is dealt over pairs of parts.
+#: Five-word shingles at a Jaccard similarity of 0.8 or more. There two sets share a table with a chance of
+#: 1 - (1 - 0.8 ** 2) ** 8 = 0.9997, and the fingerprints differ in 39 of 256 bits with a deviation of 6.
+NEAR_COPIES = Spec(shingle=5, lanes=4, radius=64, tables=8, jaccard=0.8)
+#: Least hashes that a hot bucket is split by: at each level a row goes on under so many further ones.
+SPLITS = 4
+#: Shingle sets that are compared at a time; a larger group of candidates is compared bucket by bucket.
 COMPARED = 4096
 
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -118,15 +125,27 @@ def fingerprints(text: Column, spec: Spec) -> Column:
     return make(text.cast("binary"))
 
 
-def fingerprints_and_digests(text: Column, spec: Spec) -> Column:
-    """struct of fp, the lanes, and digest, a hash of the set of shingles (0 without words)."""
+def least_hashes(h: np.ndarray, spec: Spec) -> np.ndarray:
+    """The least hash of a set under each of the spec's orders: two for a table, then SPLITS for a level."""
+    if not len(h):
+        return np.zeros(len(_orders(spec)), dtype=np.uint64)
+    return np.array([((h ^ (h >> np.uint64(32))) * m).min() for m in _orders(spec)], dtype=np.uint64)
 
-    @F.pandas_udf("fp array<bigint>, digest bigint")
+
+def _orders(spec: Spec) -> np.ndarray:
+    rng = random.Random(spec.seed)
+    return np.array([rng.getrandbits(64) | 1 for _ in range(2 * spec.tables + SPLITS * LEVELS)], dtype=np.uint64)
+
+
+def sketches(text: Column, spec: Spec) -> Column:
+    """struct of fp, the lanes, digest, a hash of the set of shingles (0 without words), and least, its least hashes."""
+
+    @F.pandas_udf("fp array<bigint>, digest bigint, least array<bigint>")
     def make(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingles(t, spec)) for t in texts]
         fps = [np.array(_majority(h, spec), dtype=np.uint64).view(np.int64) for h in sets]
         digests = np.array([xxhash.xxh64_intdigest(h.tobytes()) if len(h) else 0 for h in sets], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fps, "digest": digests})
+        return pd.DataFrame({"fp": fps, "digest": digests, "least": [least_hashes(h, spec).view(np.int64) for h in sets]})
 
     return make(text.cast("binary"))
 
@@ -134,21 +153,6 @@ def fingerprints_and_digests(text: Column, spec: Spec) -> Column:
 # ---- buckets
 
 
-def _masks(spec: Spec) -> list[list[int]]:
-    """For each table a bit mask of each lane."""
-    if not spec.tables:
-        if spec.lanes != 1:
-            raise ValueError("the pigeonhole rule is offered for one lane")
-        return [[m] for m in split_bits((1 << 64) - 1, spec.radius + 1)]
-    rng, out = random.Random(spec.seed), []
-    for _ in range(spec.tables):
-        lanes = [0] * spec.lanes
-        for b in rng.sample(range(64 * spec.lanes), spec.bits):
-            lanes[b // 64] |= 1 << b % 64
-        out.append(lanes)
-    return out
-
-
 def split_bits(mask: int, n: int) -> list[int]:
     """The set bits of mask in n runs of nearly equal number."""
     bits = [b for b in range(64) if mask >> b & 1]
@@ -156,48 +160,73 @@ def split_bits(mask: int, n: int) -> list[int]:
     return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
+def masks(radius: int, nodes: int) -> list[int]:
+    """A mask for each table: of radius + k bit groups every k. k is 1, and one more as long as a bucket would hold 1,024 of so many nodes."""
+    for k in range(1, 5):
+        groups = split_bits((1 << 64) - 1, radius + k)
+        tables = [sum(g) for g in combinations(groups, k)]
+        if nodes >> min(m.bit_count() for m in tables) < 1024:
+            break
+    return tables
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keyed(nodes: DataFrame, spec: Spec) -> DataFrame:
-    """Each node (fp) once for each table: fp, key, and the number of the table as ``path``."""
-    keys = []
-    for t, lanes in enumerate(_masks(spec)):
-        parts = [F.col("fp")[i].bitwiseAND(F.lit(_signed(m))) for i, m in enumerate(lanes) if m]
-        keys.append(F.struct(F.xxhash64(F.lit(t), *parts).alias("key"), F.lit(t).alias("path")))
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.path")
+def _picked(table: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(x)) for x in table])
+
+
+def _bit_rows(nodes: DataFrame, used: list[int]) -> DataFrame:
+    """Each node (name, fp) once for each mask: with key, and the number of the mask as ``path``."""
+    each = F.transform(_picked(used), lambda m, t: F.struct(F.xxhash64(t, F.col("fp")[0].bitwiseAND(m)).alias("key"), t.alias("path")))
+    return nodes.select("name", "fp", F.explode(each).alias("k")).select("name", "fp", "k.key", "k.path")
 
 
-def _split(hot: DataFrame, spec: Spec, used: list[int]) -> tuple[DataFrame, list[int]]:
+def _bit_split(hot: DataFrame, radius: int, used: list[int]) -> tuple[DataFrame, list[int]]:
     """Rows of hot buckets once more for each group of the bits that their path leaves free."""
-    n, subs, cases = spec.radius + 1, [], None
-    for path, mask in enumerate(used):
-        keys = []
-        for s in split_bits(~mask & ((1 << 64) - 1), n):
-            keys.append(F.struct(F.xxhash64("key", F.lit(len(subs)), F.col("fp")[0].bitwiseAND(F.lit(_signed(s)))).alias("key"), F.lit(len(subs)).alias("path")))
-            subs.append(mask | s)
-        cases = F.when(F.col("path") == path, F.array(*keys)) if cases is None else cases.when(F.col("path") == path, F.array(*keys))
-    out = hot.select("fp", F.explode(cases).alias("k")).select("fp", "k.key", "k.path")
-    return out, subs
+    subs = [mask | s for mask in used for s in split_bits(~mask & ((1 << 64) - 1), radius + 1)]
+    n = radius + 1
+    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.xxhash64("key", j, F.col("fp")[0].bitwiseAND(F.get(_picked(subs), F.col("path") * n + j))).alias("key"), (F.col("path") * n + j).alias("path")))
+    return hot.select("name", "fp", F.explode(each).alias("k")).select("name", "fp", "k.key", "k.path"), subs
+
+
+def _hash_rows(nodes: DataFrame, spec: Spec) -> DataFrame:
+    """Each node (name, fp, least) once for each table: with key, and ``path`` 0."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(spec.tables - 1)), lambda t: F.xxhash64(t, F.get("least", 2 * t), F.get("least", 2 * t + 1)))
+    return nodes.select("name", "fp", F.slice("least", 2 * spec.tables + 1, SPLITS * LEVELS).alias("further"), F.explode(each).alias("key"))
+
+
+def _hash_split(hot: DataFrame, level: int) -> DataFrame:
+    each = F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("further", level * SPLITS + j)))
+    return hot.withColumn("key", F.explode(each))
 
 
 def buckets(nodes: DataFrame, spec: Spec, bucket_limit: int) -> DataFrame:
-    rows = _keyed(nodes, spec)
-    if spec.tables:
-        return rows.select("key", "fp")
-    done, used = None, [m[0] for m in _masks(spec)]
-    for level in range(LEVELS):
-        if level == LEVELS - 1:
-            break
-        hot = materialise(rows.groupBy("key").count().filter(F.col("count") > bucket_limit).select("key"), "hot")
-        if hot.isEmpty():
-            break
-        cold = rows.join(hot, "key", "left_anti").select("key", "fp")
+    """(key, name, fp): nodes (name, fp, and least where the spec has tables) by bucket; those alone in theirs may be left out."""
+    used = [] if spec.tables else masks(spec.radius, nodes.count())
+    rows = _hash_rows(nodes, spec) if spec.tables else _bit_rows(nodes, used)
+    done = None
+    for level in range(LEVELS + 1):
+        sizes = materialise(rows.groupBy("key").count().filter("count > 1"), "bucket-sizes")
+        hot = sizes.filter(F.col("count") > bucket_limit)
+        cold = rows.join(sizes.filter(F.col("count") <= bucket_limit).select("key"), "key", "left_semi").select("key", "name", "fp")
         done = cold if done is None else done.unionByName(cold)
-        rows, used = _split(rows.join(hot, "key", "left_semi"), spec, used)
-    rows = rows.select("key", "fp")
-    return rows if done is None else done.unionByName(rows)
+        if hot.isEmpty():
+            return done
+        rest = rows.join(hot, "key")
+        if level < LEVELS:
+            rest = rest.drop("count")
+            if spec.tables:
+                rows = _hash_split(rest, level)
+            else:
+                rows, used = _bit_split(rest, spec.radius, used)
+    # what no key parts any more: each two parts of a bucket meet
+    deal = F.ceil(F.col("count") / bucket_limit).cast("int")
+    rest = rest.select("key", "name", "fp", deal.alias("deal"), F.pmod(F.xxhash64("name"), deal).cast("int").alias("i"))
+    rest = rest.withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), F.col("deal") - 1), lambda j: j != F.col("i"))))
+    return done.unionByName(rest.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "name", "fp"))
 
 
 # ---- bit-sliced comparison
@@ -326,37 +355,59 @@ def forest(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _links(radius: int, lanes: int):
-    """Arrow batches sorted by bucket key -> links between fingerprints; a bucket may run over batches."""
-    lane_list = pa.list_(pa.int64())
-    schema = pa.schema([("a", lane_list), ("b", lane_list)])
-
-    def listed(fps: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * lanes), pa.array(np.ascontiguousarray(fps).view(np.int64).ravel()))
+    """Arrow batches (key, name, fp) sorted by key -> links (key, a, b) between names; a bucket may run over batches."""
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def emit(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(keys: np.ndarray, names: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         parent = forest(fps, keys, radius)
         child = np.flatnonzero(parent != np.arange(len(parent)))
         if len(child):
-            yield pa.RecordBatch.from_arrays([listed(fps[child]), listed(fps[parent[child]])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[child], names[child], names[parent[child]])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, dtype=np.int64), np.empty((0, lanes), dtype=np.uint64)
+        held: list[tuple] = []  # batches are put together once a bucket ends, so a long bucket is copied once
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(1)
-            more = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
-            keys, fps = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)]), np.concatenate([fps, more])
-            cut = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
-            if cut:
-                yield from emit(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:], fps[cut:]
-        if len(keys):
-            yield from emit(keys, fps)
+            fps = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+            keys, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            if held and (cut or keys[0] != held[-1][0][-1]):
+                yield from emit(*(np.concatenate(c) for c in zip(*held, (keys[:cut], names[:cut], fps[:cut]), strict=True)))
+                held = []
+            elif cut:
+                yield from emit(keys[:cut], names[:cut], fps[:cut])
+            held.append((keys[cut:], names[cut:], fps[cut:]))
+        if held:
+            yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
+def _hits(nodes: DataFrame, spec: Spec, bucket_limit: int) -> DataFrame:
+    """(key, a, b): in each bucket a spanning forest of the links within the radius."""
+    keyed = buckets(nodes, spec, bucket_limit).repartition("key").sortWithinPartitions("key")
+    return keyed.select("key", "name", "fp").mapInArrow(_links(spec.radius, spec.lanes), "key long, a long, b long")
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (name and more) with root, the same for nodes that links connect."""
+    roots = connected_components(links)
+    return nodes.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+
+
+def _with_class(marked: DataFrame, rooted: DataFrame, key: str) -> DataFrame:
+    """marked with component_id and root, by rooted (key, least, root).
+
+    The least id of a class is added up before the shuffle and written before
+    it is joined, so the members of a large class may be split over tasks.
+    """
+    rooted = materialise(rooted, "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    classes = materialise(rooted.select(key, "root").join(least, "root"), "classes")
+    return marked.join(classes, key)
+
+
 def near_duplicates(docs: DataFrame, spec: Spec = Spec(), bucket_limit: int = BUCKET_LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, thash (XXH64 of the text, 0 if null), fp (lanes), component_id, root.
 
@@ -368,63 +419,47 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), bucket_limit: int = BU
     """
     thash = F.coalesce(F.when(F.col(text).isNotNull(), F.xxhash64(text)), F.lit(0))
     if spec.jaccard:
-        made = docs.select(F.col(doc_id).alias("doc_id"), thash.alias("thash"), fingerprints_and_digests(F.col(text), spec).alias("f"))
-        marked = materialise(made.select("doc_id", "thash", "f.fp", "f.digest"), "fingerprints")
+        made = docs.select(F.col(doc_id).alias("doc_id"), thash.alias("thash"), sketches(F.col(text), spec).alias("f"))
+        marked = materialise(made.select("doc_id", "thash", "f.fp", "f.digest", "f.least"), "sketches")
         return cluster_sets(marked, docs.select(thash.alias("thash"), F.col(text).alias("text")), spec, bucket_limit)
     marked = materialise(docs.select(F.col(doc_id).alias("doc_id"), thash.alias("thash"), fingerprints(F.col(text), spec).alias("fp")), "fingerprints")
     return cluster(marked, spec, bucket_limit)
 
 
 def cluster(marked: DataFrame, spec: Spec, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """marked (doc_id, fp and more) with component_id, and root: the name of the class, also where it has no id."""
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    return marked.join(_least_of_class(_rooted(nodes, spec, bucket_limit), "fp"), "fp")
-
-
-def _rooted(nodes: DataFrame, spec: Spec, bucket_limit: int) -> DataFrame:
-    """nodes (fp and more) with root, the same for fingerprints that links within the radius connect."""
-    keyed = buckets(nodes.select("fp"), spec, bucket_limit)
-    sorted_rows = keyed.repartition("key").sortWithinPartitions("key")
-    raw = sorted_rows.select("key", "fp").mapInArrow(_links(spec.radius, spec.lanes), "a array<bigint>, b array<bigint>")
-    # a node is named by a 64-bit number: the fingerprint itself, or the hash of its lanes
-    name = (lambda c: F.col(c)[0]) if spec.lanes == 1 else F.xxhash64
-    links = raw.select(name("a").alias("a"), name("b").alias("b")).distinct()
-    roots = connected_components(links)
-    named = nodes.withColumn("name", name("fp")).join(roots.withColumnRenamed("node", "name"), "name", "left")
-    return named.withColumn("root", F.coalesce("root", "name")).drop("name")
-
-
-def _least_of_class(named: DataFrame, key: str) -> DataFrame:
-    """(key, component_id, root) of nodes (key, least, root)."""
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.select(key, "root").join(least, "root").select(key, "component_id", "root")
+    """marked (doc_id, fp of one lane and more) with component_id, and root: the name of the class, also where it has no id."""
+    marked = marked.withColumn("name", F.col("fp")[0])
+    nodes = materialise(marked.groupBy("name").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    links = _hits(nodes, spec, bucket_limit).select("a", "b")
+    return _with_class(marked, _rooted(nodes.select("name", "least"), links), "name").drop("name")
 
 
 def cluster_sets(marked: DataFrame, texts: DataFrame, spec: Spec, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """marked (doc_id, thash, fp, digest) with component_id and root, by links of ``spec.jaccard`` or more.
+    """marked (doc_id, thash, fp, digest, least) with component_id and root, by links of ``spec.jaccard`` or more.
 
-    A node is a distinct set of shingles. Fingerprints within the radius make
-    groups of candidates; inside a group every pair of sets that is not yet
-    in one class is compared exactly, whatever its distance in bits. One text
-    (thash, text) of each candidate is read for that. A group of over
-    COMPARED sets is dealt in parts, and each two parts meet in one task.
+    A node is a distinct set of shingles. Fingerprints within the radius that
+    share a bucket make groups of candidates, and inside a group every pair of
+    sets that is not yet in one class is compared exactly. A group is all that
+    such links connect or, where that is over COMPARED sets, the classes of
+    each bucket. One text (thash, text) of each candidate is read.
     """
-    nodes = materialise(marked.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("thash").alias("thash"), F.min("doc_id").alias("least")), "nodes")
-    # equal sets have equal fingerprints; the reverse need not hold
-    named = _rooted(nodes.select("fp").distinct(), spec, bucket_limit).withColumnRenamed("root", "wide")
-    named = materialise(nodes.select("fp", "digest", "thash").join(named, "fp").select("digest", "thash", "wide"), "candidates")
-    groups = named.groupBy("wide").agg(F.ceil(F.count("*") / COMPARED).cast("int").alias("deal"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    part = F.pmod(F.xxhash64("digest"), F.col("deal")).cast("int")
-    rows = named.join(groups, "wide").withColumn("i", part)
-    others = F.when(F.col("deal") > 1, F.filter(F.sequence(F.lit(0), F.col("deal") - 1), lambda j: j != F.col("i"))).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("j", F.explode(others)).select("digest", "thash", F.xxhash64("wide", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
-    rows = materialise(rows, "compared")
+    marked = marked.withColumnRenamed("least", "hashes")
+    nodes = materialise(marked.groupBy(F.col("digest").alias("name")).agg(F.min("fp").alias("fp"), F.min("hashes").alias("least"), F.min("thash").alias("thash"), F.min("doc_id").alias("first")), "nodes")
+    hits = materialise(_hits(nodes, spec, bucket_limit), "hits")
+    wide = connected_components(hits.select("a", "b")).select(F.col("node").alias("name"), F.col("root").alias("g"))
+    wide = materialise(wide, "wide")
+    many = materialise(wide.groupBy("g").count().filter(F.col("count") > COMPARED).select("g"), "many")
+    small = wide.join(many, "g", "left_anti")
+    of_large = materialise(wide.join(many, "g", "left_semi").select("name"), "of-large")
+    # in a bucket's forest every member points at its class's first, so (key, b) names the class
+    classes = hits.join(of_large.withColumnRenamed("name", "a"), "a", "left_semi").select(F.xxhash64("key", "b").alias("g"), F.explode(F.array("a", "b")).alias("name")).distinct()
+    rows = materialise(small.select("g", "name").unionByName(classes.select("g", "name")).join(nodes.select("name", "thash"), "name"), "compared")
+    discard(hits, wide, many, of_large)
     one = texts.join(rows.select("thash").distinct(), "thash", "left_semi").dropDuplicates(["thash"])
-    sets = rows.join(one, "thash").select("g", "digest", F.col("text").cast("binary").alias("text"))
+    sets = rows.join(one, "thash").select("g", "name", F.col("text").cast("binary").alias("text"))
     links = sets.repartition("g").sortWithinPartitions("g").mapInArrow(_set_links(spec), "a bigint, b bigint")
-    roots = connected_components(links.distinct()).withColumnRenamed("node", "digest")
-    rooted = nodes.select("digest", "least").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    return marked.join(_least_of_class(rooted, "digest"), "digest").drop("digest")
+    rooted = _rooted(nodes.select("name", F.col("first").alias("least")), links).withColumnRenamed("name", "digest")
+    return _with_class(marked.drop("hashes"), rooted, "digest").drop("digest")
 
 
 def alike(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
@@ -490,7 +525,8 @@ def _set_links(spec: Spec):
 def keep_one(docs: DataFrame, spec: Spec = NEAR_COPIES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class: that of the smallest id (rows without id last), one row of equal rows.
 
-    Texts without words are one class, of which one stays.
+    Texts without words are one class, of which one stays. Rows without id
+    are grouped like any other. An empty table stays empty.
     """
     return _keep_one(docs, near_duplicates(docs, spec, doc_id=doc_id, text=text), doc_id, text)
 
@@ -504,14 +540,8 @@ def _keep_one(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Data
     return d.dropDuplicates([doc_id, "__thash"]).select(*docs.columns)
 
 
-def recall_of(spec: Spec, differing: int) -> float:
-    """Chance that the sampled bit groups bring two fingerprints together that differ in so many bits."""
-    n = 64 * spec.lanes
-    one = math.comb(n - differing, spec.bits) / math.comb(n, spec.bits)
-    return 1 - (1 - one) ** spec.tables
-
-
 def op10_bit_sliced(spark, sf_dir: str) -> DataFrame:
+    """All documents; nulls, ties and repeated rows as in ``near_duplicates``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = near_duplicates(docs.select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
