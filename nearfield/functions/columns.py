@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed values of the stored format: the prefix of a signature, and each version's dimensions and algorithm.
 PREFIX = "0din-"
+ALGORITHMS = {"v0": "openai", "v1": "onnx"}
 DIMENSIONS = {"v0": 1536, "v1": 1024}
 
 
@@ -53,7 +55,7 @@ def signature_string(version: Column, signature: Column) -> Column:
 
 def parse_signature(text: Column) -> Column:
     """struct(version, signature); null where the text is no versioned signature."""
-    pattern = "^" + PREFIX + "(v[01]):([0-9a-fA-F]+)$"
+    pattern = "^" + PREFIX + "(v[01]):([0-9a-f]+)$"
     return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, 1).alias("version"), F.regexp_extract(text, pattern, 2).alias("signature")))
 
 
@@ -62,6 +64,25 @@ def version_of(dimensions: Column) -> Column:
     return F.when(dimensions == 1536, "v0").when(dimensions == 1024, "v1")
 
 
+def dimensions_of(version: Column) -> Column:
+    """The other direction; latest is v1, and null for any other tag."""
+    return F.when(version == "v0", DIMENSIONS["v0"]).when(version.isin("v1", "latest"), DIMENSIONS["v1"])
+
+
+def algorithm_of(version: Column) -> Column:
+    return F.when(version == "v0", ALGORITHMS["v0"]).when(version.isin("v1", "latest"), ALGORITHMS["v1"])
+
+
+def is_stored(text: Column) -> Column:
+    """Whether a text has the form of a stored signature: any version number and 64 digits."""
+    return F.coalesce(text.rlike("^" + PREFIX + "v[0-9]+:[0-9a-f]{64}$"), F.lit(False))
+
+
+def match_line(title: Column, severity: Column, boundary: Column, cosine: Column, hamming: Column) -> Column:
+    """A match as a line of text."""
+    return F.format_string("%s (%s, %s) - cosine: %.4f, hamming: %d", title, severity, boundary, cosine, hamming)
+
+
 def preview(text: Column, limit: int = 50) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit - 3), F.lit("...")))
 
@@ -92,6 +113,17 @@ def suspicious_probability(logits: Column) -> Column:
     return F.when(F.size(logits) >= 2, F.exp(b - m) / (F.exp(a - m) + F.exp(b - m)))
 
 
+def checked_logits(logits: Column) -> Column:
+    """logits, an error where a row has fewer than two; null stays null."""
+    return F.when(logits.isNull() | (F.size(logits) >= 2), logits).otherwise(F.raise_error(F.lit("a scorer must return two logits")).cast("array<double>"))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors; null where one is zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+
+
 def label(score: Column, threshold: float = 0.5) -> Column:
     return F.when(score >= threshold, "suspicious").otherwise("safe")
 

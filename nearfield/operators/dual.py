@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.columns import bands, words64
-from nearfield.functions.dual import HALF, Calibrator, Rotation, dual_hash, raw_similarity
+from nearfield.functions.dual import HALF, Calibrator, Rotation, dual_hash, plain_signature, raw_similarity
+from nearfield.operators.signing import simhash
 
 
 def dual_sign(embeddings: DataFrame, family: int = 0, rotation: Rotation | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -17,17 +18,29 @@ def dual_sign(embeddings: DataFrame, family: int = 0, rotation: Rotation | None
 
 
 def dual_index(signed: DataFrame, n: int = 64, key: str = "vec_id") -> DataFrame:
-    """(key, band, value, a, b): one row for each of n pieces of hash_a, 64 as in the reference. Fewer pieces: fewer candidates, less recall."""
+    """(key, band, value, a, b): one row for each of n pieces of hash_a, 64 by default. Fewer pieces: fewer candidates, less recall."""
     return signed.filter(F.col("hash_a").isNotNull()).select(key, words64(F.col("hash_a"), 8).alias("a"), words64(F.col("hash_b"), 8).alias("b"), F.posexplode(bands(F.col("hash_a"), n)).alias("band", "value"))
 
 
 def dual_pairs(index: DataFrame, threshold: float = 0.85, calibrator: Calibrator | None = None, key: str = "vec_id") -> DataFrame:
     """(x, y, similarity) of pairs x < y that share a band and reach the threshold."""
     similarity: Column = (calibrator or Calibrator())(raw_similarity(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")))
-    left = index.select(F.col(key).alias("x"), "band", "value", F.col("a").alias("a1"), F.col("b").alias("b1"))
-    right = index.select(F.col(key).alias("y"), "band", "value", F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = left.join(right, ["band", "value"]).filter(F.col("x") < F.col("y")).withColumn("similarity", similarity)
-    return pairs.filter(F.col("similarity") >= threshold).groupBy("x", "y").agg(F.max("similarity").alias("similarity"))
+    # equal hashes are one node; candidates are pairs of nodes, made distinct before hashes are fetched for them
+    rows = index.withColumn("node", F.xxhash64("a", "b"))
+    members, hashes = rows.select(key, "node").distinct(), rows.select("node", "a", "b").distinct()
+    bands = rows.select("band", "value", "node").distinct()
+    met = bands.select("band", "value", F.col("node").alias("l")).join(bands.select("band", "value", F.col("node").alias("r")), ["band", "value"])
+    met = met.filter(F.col("l") <= F.col("r")).select("l", "r").distinct()
+    met = met.join(hashes.select(F.col("node").alias("l"), F.col("a").alias("a1"), F.col("b").alias("b1")), "l").join(hashes.select(F.col("node").alias("r"), F.col("a").alias("a2"), F.col("b").alias("b2")), "r")
+    met = met.select("l", "r", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
+    pairs = met.join(members.select(F.col(key).alias("p"), F.col("node").alias("l")), "l").join(members.select(F.col(key).alias("q"), F.col("node").alias("r")), "r").filter(F.col("p") != F.col("q"))
+    return pairs.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.max("similarity").alias("similarity"))
+
+
+def verify_plain(embeddings: DataFrame, family: int = 0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, plain, agrees): the first 256 bits of the dual hash, and whether they equal the plain signature of the family."""
+    signed = embeddings.select(key, plain_signature(dual_hash(F.col(vector), family)["hash_a"]).alias("plain"), simhash(F.col(vector), family).alias("__s"))
+    return signed.select(key, "plain", (F.col("plain") == F.col("__s")).alias("agrees"))
 
 
 def train_rotation(embeddings: DataFrame, rounds: int = 50, sample_rows: int = 20_000, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> Rotation:

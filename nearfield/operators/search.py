@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.columns import cosine_from_hamming, hamming_words, largest_distance
+from nearfield.functions.columns import cosine_from_hamming, embedding_sha256, hamming_words, largest_distance, normalise
 
 
 def near_pairs(index: DataFrame, threshold: float = 0.85, key: str = "vec_id") -> DataFrame:
-    """(a, b, hamming, cosine) of pairs a < b that share a band and reach the threshold."""
-    left = index.select(F.col(key).alias("a"), "family", "band", "value", F.col("words").alias("wa"))
-    right = index.select(F.col(key).alias("b"), "family", "band", "value", F.col("words").alias("wb"))
-    pairs = left.join(right, ["family", "band", "value"]).filter(F.col("a") < F.col("b"))
-    pairs = pairs.withColumn("hamming", hamming_words(F.col("wa"), F.col("wb"))).filter(F.col("hamming") <= largest_distance(threshold))
+    """(a, b, hamming, cosine) of pairs a < b that share a band and reach the threshold.
+
+    Equal signatures are one node: nodes are joined by their words, candidates
+    are made distinct before they are compared, and only then pairs are
+    written out for the keys of two nodes. Rows without a signature match
+    nothing.
+    """
+    rows = index.filter(F.col("words").isNotNull()).withColumn("node", F.xxhash64("words"))
+    members = rows.select(key, "node").distinct()
+    nodes = rows.select("family", "band", "value", "node", "words").distinct()
+    left = nodes.select("family", "band", "value", F.col("node").alias("na"))
+    right = nodes.select("family", "band", "value", F.col("node").alias("nb"))
+    met = left.join(right, ["family", "band", "value"]).filter(F.col("na") <= F.col("nb")).select("na", "nb").distinct()
+    words = nodes.select("node", "words").distinct()
+    near = hamming_words(F.col("wa"), F.col("wb"))
+    met = met.join(words.select(F.col("node").alias("na"), F.col("words").alias("wa")), "na").join(words.select(F.col("node").alias("nb"), F.col("words").alias("wb")), "nb")
+    met = met.select("na", "nb", near.alias("hamming")).filter(F.col("hamming") <= largest_distance(threshold))
+    pairs = met.join(members.select(F.col(key).alias("x"), F.col("node").alias("na")), "na").join(members.select(F.col(key).alias("y"), F.col("node").alias("nb")), "nb")
+    pairs = pairs.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "hamming")
     best = pairs.groupBy("a", "b").agg(F.min("hamming").alias("hamming"))
     return best.withColumn("cosine", cosine_from_hamming(F.col("hamming")))
 
@@ -63,3 +79,80 @@ def tiered_search(queries: DataFrame, corpus: DataFrame, threshold: float = 0.85
     used = enough.withColumn("before", before).filter(F.col("before") < min_results).select(query, "tier")
     rank = F.row_number().over(Window.partitionBy(query).orderBy("hamming", key))
     return first.join(used, [query, "tier"]).withColumn("rank", rank).filter(F.col("rank") <= min_results).select(query, key, "tier", "hamming", "rank")
+
+
+def closest_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
+    """The k closest of near_pairs, best first; ties by a and b."""
+    return pairs.orderBy("hamming", "a", "b").limit(k)
+
+
+#: Vectors that a stated query set may have: they are sent to every executor.
+MAX_QUERIES = 10_000
+
+
+def exact_cosine(queries: DataFrame, corpus: DataFrame, threshold: float | None = None, k: int | None = None, query: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, cosine) of a stated query set against all rows: those that reach the threshold, and the k best of a query.
+
+    The truth that lookups are measured by. Queries, MAX_QUERIES at most (an
+    error beyond), go to every executor as a matrix and meet the corpus block
+    by block; a block keeps its own k best before they are ranked, ties by
+    key. Null vectors, and vectors of other lengths, match nothing; a zero
+    vector has cosine 0 with all. A row may match itself.
+    """
+    got = queries.filter(F.col(vector).isNotNull()).select(query, F.col(vector).cast("array<double>").alias("v")).limit(MAX_QUERIES + 1).collect()
+    if len(got) > MAX_QUERIES:
+        raise ValueError(f"over {MAX_QUERIES} queries; ask in parts")
+    by_size: dict[int, tuple[list, np.ndarray]] = {}
+    for d in {len(r["v"]) for r in got}:
+        own = [r for r in got if len(r["v"]) == d]
+        by_size[d] = [r[query] for r in own], _unit(np.array([r["v"] for r in own], dtype=np.float64))
+    shared = corpus.sparkSession.sparkContext.broadcast(by_size)
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *corpus.schema]}
+
+    def compare(batches):
+        for b in batches:
+            out: dict[str, list] = {query: [], key: [], "cosine": []}
+            sizes = b["v"].map(lambda v: -1 if v is None else len(v))
+            for d, (names, q) in shared.value.items():
+                rows = b[sizes == d]
+                if not len(rows):
+                    continue
+                c = _unit(np.stack(rows["v"]).astype(np.float64)) @ q.T
+                good = np.ones_like(c, bool) if threshold is None else c >= threshold
+                if k is not None and len(rows) > k:
+                    good &= c >= np.partition(c, len(rows) - k, axis=0)[len(rows) - k]
+                i, j = np.nonzero(good)
+                ids = rows[key].to_numpy()
+                out[query] += [names[x] for x in j]
+                out[key] += ids[i].tolist()
+                out["cosine"] += c[i, j].tolist()
+            yield pd.DataFrame(out)
+
+    rows = corpus.select(key, F.col(vector).cast("array<double>").alias("v"))
+    found = rows.mapInPandas(compare, f"`{query}` {kinds[query]}, `{key}` {kinds[key]}, cosine double")
+    if k is None:
+        return found
+    best = F.row_number().over(Window.partitionBy(query).orderBy(F.col("cosine").desc(), key))
+    return found.withColumn("rank", best).filter(F.col("rank") <= k)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def documents_of(candidates: DataFrame, documents: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The documents that some candidate names, each once."""
+    return documents.join(candidates.select(key).distinct(), key, "left_semi")
+
+
+def documents_in_bands(index: DataFrame, documents: DataFrame, bands: DataFrame, family: int = 0, key: str = "vec_id") -> DataFrame:
+    """documents with n_bands, how many of the wanted bands (band, value) of a family they lie in; those in none are left out."""
+    hit = index.filter(F.col("family") == family).join(bands.select("band", "value").distinct(), ["band", "value"])
+    return documents.join(hit.groupBy(key).agg(F.count("*").alias("n_bands")), key)
+
+
+def distinct_embeddings(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(sha256, key, copies): one row for each embedding that is equal to six places after it is set to unit length, with the least key."""
+    digest = embedding_sha256(normalise(F.col(vector)))
+    return embeddings.filter(F.col(vector).isNotNull()).groupBy(digest.alias("sha256")).agg(F.min(key).alias(key), F.count("*").alias("copies"))

@@ -12,6 +12,8 @@ from nearfield.streaming import sync
 #: No two test vectors are near copies, so the lookups run at a threshold that some pairs reach.
 LOOSE = 0.3
 LOOSE_DUAL = 0.6
+#: White space at the ends of a text.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def _read(spark, sf_dir, table):
@@ -67,7 +69,8 @@ def verdicts(spark, sf_dir):
 
 
 def exact_dedup(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").groupBy(F.trim("text").alias("t")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    digest = F.md5(F.btrim("text", F.lit(WHITE)).cast("binary"))
+    return _read(spark, sf_dir, "documents").groupBy(digest.alias("t")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 def latest_event(spark, sf_dir):
@@ -77,8 +80,11 @@ def latest_event(spark, sf_dir):
 
 
 def sync_counts(spark, sf_dir):
-    e = _read(spark, sf_dir, "events").select("user_id", "event_id")
-    return upsert.sync_counts(e.filter("event_id % 3 = 0").select("user_id").distinct(), e.filter("event_id % 3 = 1"), "user_id")
+    """Users seen up to the middle of the events' time span are cached; every later event is in the batch."""
+    e = _read(spark, sf_dir, "events").select("user_id", "ts")
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    late = F.col("ts") > F.lit(first + (last - first) / 2 if last else None)
+    return upsert.sync_counts(e.filter(~late).select("user_id").distinct(), e.filter(late), "user_id")
 
 
 def dual_signatures(spark, sf_dir):
@@ -87,7 +93,7 @@ def dual_signatures(spark, sf_dir):
 
 def dual_pairs(spark, sf_dir):
     out = dual.dual_pairs(dual.dual_index(dual_signatures(spark, sf_dir)), LOOSE_DUAL)
-    return out.select("x", "y", F.round("similarity", 6).alias("similarity"))
+    return out.select("x", "y", (F.floor(F.col("similarity") * 1e6 + 0.5) / 1e6).alias("similarity"))
 
 
 def tiered_matches(spark, sf_dir):
@@ -154,19 +160,19 @@ QUERIES = {
 }
 
 
-def _signed_sql(families: int) -> str:
-    """CTE ``signed`` (vec_id, family, signature): SplitMix64 in 128-bit arithmetic."""
+def _signed_sql(families: int, dims: int = 64, source: str = "embeddings", key: str = "vec_id", vector: str = "embedding") -> str:
+    """CTE ``signed`` (key, family, signature): SplitMix64 in 128-bit arithmetic."""
     return f"""
 seeds AS (
   SELECT f.i AS family, b.i AS bit, d.i AS dim,
          (((xor(xor(f.i::UBIGINT << 48, b.i::UBIGINT << 24), d.i::UBIGINT))::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z0
-  FROM range({families}) f(i), range(256) b(i), range(64) d(i)),
+  FROM range({families}) f(i), range(256) b(i), range({dims}) d(i)),
 z1 AS (SELECT family, bit, dim, ((xor(z0, z0 >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM seeds),
 z2 AS (SELECT family, bit, dim, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM z1),
 planes AS (SELECT family, bit, list(CASE WHEN xor(z, z >> 31) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY dim) AS p FROM z2 GROUP BY family, bit),
-dots AS (SELECT vec_id, family, bit, list_dot_product(embedding::DOUBLE[], p) > 0 AS one FROM embeddings, planes),
-digits AS (SELECT vec_id, family, bit // 4 AS n, sum(CASE WHEN one THEN 8 >> (bit % 4) ELSE 0 END)::INT AS v FROM dots GROUP BY ALL),
-signed AS (SELECT vec_id, family::INT AS family, string_agg(substr('0123456789abcdef', v + 1, 1), '' ORDER BY n) AS signature FROM digits GROUP BY vec_id, family)"""
+dots AS (SELECT {key}, family, bit, list_dot_product({vector}::DOUBLE[], p) > 0 AS one FROM {source}, planes),
+digits AS (SELECT {key}, family, bit // 4 AS n, sum(CASE WHEN one THEN 8 >> (bit % 4) ELSE 0 END)::INT AS v FROM dots GROUP BY ALL),
+signed AS (SELECT {key}, family::INT AS family, string_agg(substr('0123456789abcdef', v + 1, 1), '' ORDER BY n) AS signature FROM digits GROUP BY {key}, family)"""
 
 
 _BANDS = ",\nbanded AS (SELECT vec_id, family, signature, i::INT AS band, substr(signature, (1 + 4 * i)::INT, 4) AS value FROM signed, range(16) r(i))"
@@ -190,10 +196,11 @@ SELECT doc_id, chunk::INT AS chunk, len(w[chunk * 460 + 1 : chunk * 460 + 510]):
     "verdicts": """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
 s AS (SELECT vec_id, exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS p FROM p)
 SELECT vec_id, round(p, 6) AS score, CASE WHEN p >= 0.5 THEN 'suspicious' ELSE 'safe' END AS label, CASE WHEN p >= 0.8 THEN 'block' WHEN p >= 0.5 THEN 'review' ELSE 'allow' END AS response FROM s""",
-    "exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY trim(text)",
+    "exact_dedup": f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY trim(text, '{WHITE}')",
     "latest_event": """WITH o AS (SELECT user_id, event_id, event_type, event_id % 2 AS odd, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS n FROM events)
 SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY odd DESC) AS k FROM o WHERE n = 1) WHERE k = 1""",
-    "sync_counts": """WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id % 3 = 0), k AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 1 GROUP BY 1),
+    "sync_counts": """WITH b AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS middle FROM events),
+c AS (SELECT DISTINCT user_id FROM events, b WHERE ts <= middle), k AS (SELECT user_id, count(*) AS n FROM events, b WHERE ts > middle GROUP BY 1),
 j AS (SELECT n, CASE WHEN c.user_id IS NULL THEN 1 ELSE 0 END AS a FROM k LEFT JOIN c USING (user_id))
 SELECT sum(a)::BIGINT AS added, sum(n - a)::BIGINT AS updated, ((SELECT count(*) FROM c) + sum(a))::BIGINT AS total FROM j""",
 }
@@ -216,11 +223,11 @@ s AS (SELECT vec_id, id, chunk, exp(b - greatest(a, b)) / (exp(a - greatest(a, b
 SQL |= {
     "dual_signatures": f"WITH {_signed_sql(1)},{_DUAL} SELECT vec_id, hash_a, hash_b FROM dual",
     "dual_pairs": f"""WITH {_signed_sql(1)},{_DUAL},
-piece AS (SELECT vec_id, i, substr(hash_a, (1 + 4 * i)::INT, 4) AS value FROM dual, range(32) r(i)),
+piece AS (SELECT vec_id, i, substr(hash_a, (1 + 2 * i)::INT, 2) AS value FROM dual, range(64) r(i)),
 near AS (SELECT DISTINCT l.vec_id AS x, r.vec_id AS y FROM piece l JOIN piece r USING (i, value) WHERE l.vec_id < r.vec_id),
 n AS (SELECT near.x, near.y, {_APART} AS apart, {_SURE} AS sure, {_SURE_APART} AS sure_apart FROM near JOIN dual x ON x.vec_id = near.x JOIN dual y ON y.vec_id = near.y),
 m AS (SELECT x, y, CASE WHEN sure > 0 THEN 0.65::DOUBLE * (sure - sure_apart) / sure + 0.35::DOUBLE * ((512 - apart) / 512.0::DOUBLE) ELSE (512 - apart) / 512.0::DOUBLE END AS s FROM n)
-SELECT x, y, round(s, 6) AS similarity FROM m WHERE s >= 0.6""",
+SELECT x, y, floor(s * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS similarity FROM m WHERE s >= 0.6""",
     "tiered_matches": f"""WITH {_signed_sql(3)}{_BANDS},
 hits AS (SELECT x.vec_id AS query_id, y.vec_id AS vec_id, x.family, min({_HAMMING})::INT AS hamming FROM banded x JOIN banded y USING (family, band, value) WHERE x.vec_id % 50 = 0 GROUP BY ALL),
 one AS (SELECT query_id, vec_id, min(family) AS tier, arg_min(hamming, family) AS hamming FROM hits WHERE hamming <= 103 GROUP BY ALL),

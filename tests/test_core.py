@@ -4,7 +4,7 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from nearfield import registry
+from nearfield import registry, registry_texts
 from nearfield.functions import columns as C
 from nearfield.functions.hyperplanes import splitmix64
 from nearfield.operators import signing
@@ -12,9 +12,10 @@ from nearfield.operators import signing
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES | registry_texts.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    same_rows(registry.QUERIES[name](spark, SF), duck.sql(registry.SQL[name]))
+    queries, sql = registry.QUERIES | registry_texts.QUERIES, registry.SQL | registry_texts.SQL
+    same_rows(queries[name](spark, SF), duck.sql(sql[name]))
 
 
 def test_splitmix64_published_values():

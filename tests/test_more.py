@@ -63,7 +63,7 @@ def test_feed_defaults_and_errors(spark):
             feed.entries(spark.createDataFrame([(bad,)], "body string")).collect()
 
 
-@pytest.mark.parametrize("body", [["a ", "b", "a", " "], [{"prompt": "a"}, {"text": " b"}, {"x": 1}], {"prompts": ["a", {"content": "b"}]}])
+@pytest.mark.parametrize("body", [["a ", "b", "a", " "], [{"prompt": "a"}, {"text": " b"}, {"x": 1}], {"prompts": ["a", {"content": "b"}]}, {"results": [{"body": "a"}, {"title": "b"}]}])
 def test_prompts(spark, tmp_path, body):
     (tmp_path / "p.json").write_text(json.dumps(body))
     assert sorted(r.text for r in feed.read_prompts(spark, str(tmp_path / "p.json")).collect()) == ["a", "b"]
@@ -87,7 +87,7 @@ def test_stream_goes_on_and_keeps_newer_rows(spark, tmp_path):
     assert run() == [(1, 6, 4), (2, 9, 3), (3, 1, 6)]
 
 
-def test_dual_index_has_the_bands_of_the_reference(spark):
+def test_dual_index_has_64_bands(spark):
     rng = np.random.default_rng(6)
     a = rng.integers(0, 2, size=512).astype(bool)
     b = a.copy()
