@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.scratch import materialise
-
-#: Turns in one rendered row. A longer conversation is rendered in parts.
-MAX_TURNS = 2048
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+USER = "user name="
 
 
-def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system", max_turns: int = MAX_TURNS, block: int | None = None) -> DataFrame:
-    """One row for each conversation and participant: the dialogue with that participant as assistant.
+def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system") -> DataFrame:
+    """One row for each conversation and participant: the whole dialogue with that participant as assistant.
 
     A participant is any speaker but ``system``; a null speaker is named
     ``unknown``. In a participant's rendering that speaker's turns are the
@@ -22,62 +19,41 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     loss: each assistant text with its closing mark. Turns are ordered by
     turn (null last), speaker and text, so repeated turns are kept, ties have
     one order, and a null text is rendered empty. A conversation of system
-    turns alone has no row. A null conv_id is one conversation.
+    turns alone has no row. A null conv_id is one conversation. Other columns
+    are left out, and an empty table gives an empty result.
 
-    A conversation of over max_turns turns is rendered in parts, numbered in
-    order: a part is a run of max_turns turns in that order (``block`` turns
-    if given, max_turns at most), the last one of the rest, whatever the turn
-    numbers are. All its participants have a rendering of each part. Other
-    columns are left out.
+    Where each turn begins is a running sum over the conversation, taken as
+    if all were users; a participant's own turns shift it by the same length
+    each. So the work is linear in the dialogue for each participant. A row
+    holds its whole dialogue, however long: that is the result asked for.
     """
-    run = min(block or max_turns, max_turns)
     t = turns.select(F.col(conv_id).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("unknown")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-
-    speakers = t.groupBy("c", "r").agg(F.count("*").alias("k")).groupBy("c").agg(F.sum("k").alias("k"), F.sort_array(F.collect_set(F.when(F.col("r") != system, F.col("r")))).alias("everyone"))
-    long = materialise(speakers.filter(F.col("k") > max_turns).select(F.col("c").alias("lc"), "everyone"), "long")
-    same = F.col("c").eqNullSafe(F.col("lc"))
-    t = t.join(long.select("lc"), same, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(_parts(t.join(long.select("lc"), same, "left_semi"), run))
-    message = F.struct(F.col("t").isNull().alias("n"), "t", "r", "x")
-    whole = t.groupBy("c", "part").agg(F.sort_array(F.collect_list(message)).alias("m"))
-    whole = whole.join(long, F.col("c").eqNullSafe(F.col("lc")), "left")
-    present = F.sort_array(F.array_distinct(F.transform(F.filter("m", lambda m: m["r"] != system), lambda m: m["r"])))
-    whole = whole.withColumn("perspective", F.explode(F.coalesce("everyone", present)))
+    order = [F.col("t").asc_nulls_last(), "r", "x"]
+    head = F.length("r") + F.when(F.col("r") == system, 0).otherwise(len(USER))
+    size = head + F.length("x") + len(OPEN) + len(CLOSE) + 2
+    inside = Window.partitionBy("c").orderBy(*order)
+    t = t.withColumns({
+        "seq": F.row_number().over(inside),
+        "at": F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "own": F.row_number().over(Window.partitionBy("c", "r").orderBy(*order)) - 1,
+    })
+    whole = t.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("seq", "r", "x", "at", "own"))).alias("m"))
+    speakers = F.array_distinct(F.transform(F.filter("m", lambda m: m["r"] != system), lambda m: m["r"]))
+    whole = whole.withColumn("perspective", F.explode(speakers))
 
     me = F.col("perspective")
-    head = lambda m: F.concat(F.lit(OPEN), F.when(m["r"] == me, "assistant").when(m["r"] == system, system).otherwise(F.concat(F.lit("user name="), m["r"])), F.lit("\n"))
-    whole = whole.withColumn("p", F.transform("m", lambda m: F.struct(head(m).alias("h"), m["x"].alias("x"), (m["r"] == me).alias("mine"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(a, m):
-        begin = a["at"] + F.length(m["h"])
-        end = begin + F.length(m["x"]) + len(CLOSE)
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + 1).alias("at"), F.when(m["mine"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-    rendered = F.array_join(F.transform("p", lambda m: F.concat(m["h"], m["x"], F.lit(CLOSE + "\n"))), "")
-    return whole.select(F.col("c").alias(conv_id), "perspective", "part", F.size("m").alias("n_turns"), rendered.alias("rendered"), F.aggregate("p", start, step)["spans"].alias("mask"))
-
-
-def _parts(t: DataFrame, run: int) -> DataFrame:
-    """t with part: the place of a turn in its conversation's order, by runs of ``run`` turns.
-
-    The turns are sorted over all tasks and numbered in each; a conversation's
-    counts by task are added up, so a long one is not in one task. Equal turns
-    are spread by the row they came in.
-    """
-    keys = ["c", F.col("t").isNull(), "t", "r", "x", "u"]
-    t = t.withColumn("u", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("u")
-    t = materialise(t.withColumn("id", F.monotonically_increasing_id()).withColumn("task", F.shiftright("id", 33)), "turns")
-    counts = t.groupBy("c", "task").agg(F.count("*").alias("k"), F.min("id").alias("least"))
-    before = F.sum("k").over(Window.partitionBy("c").orderBy("task")) - F.col("k")
-    counts = counts.select(F.col("c").alias("cc"), F.col("task").alias("ct"), (before - F.col("least")).alias("shift"))
-    t = t.join(counts, F.col("c").eqNullSafe(F.col("cc")) & (F.col("task") == F.col("ct")))
-    return t.select("c", "t", "r", "x", F.floor((F.col("id") + F.col("shift")) / run).cast("long").alias("part"))
+    name = lambda m: F.when(m["r"] == me, "assistant").when(m["r"] == system, system).otherwise(F.concat(F.lit(USER), m["r"]))
+    rendered = F.array_join(F.transform("m", lambda m: F.concat(F.lit(OPEN), name(m), F.lit("\n"), m["x"], F.lit(CLOSE + "\n"))), "")
+    shorter = F.length(me) + len(USER) - len("assistant")
+    begin = lambda m: m["at"] - m["own"] * shorter + len(OPEN) + len("assistant") + 1
+    span = lambda m: F.struct(begin(m).cast("int").alias("start"), (begin(m) + F.length(m["x"]) + len(CLOSE)).cast("int").alias("end"))
+    mask = F.transform(F.filter("m", lambda m: m["r"] == me), span)
+    return whole.select(F.col("c").alias(conv_id), "perspective", F.size("m").alias("n_turns"), rendered.alias("rendered"), mask.alias("mask"))
 
 
 def op2_perspectives(spark, sf_dir: str) -> DataFrame:
-    """Whole conversations; the mask as text, ``start:end`` joined by commas."""
-    out = rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations, each rendered whole (part 0); the mask as text, ``start:end`` joined by commas. Nulls, ties and repeats as in ``rotate``."""
+    out = rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("part", F.lit(0).cast("long"))
     mask = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.withColumn("mask", mask)
 

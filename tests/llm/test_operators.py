@@ -94,15 +94,6 @@ def test_reordered_passage_is_a_leak(spark):
     assert [(r.doc_id, r.item_id, r.coverage, len(r.tiles)) for r in found] == [(1, 9, 1.0, 2)]
 
 
-def test_long_conversations_come_in_parts(spark):
-    turns = spark.createDataFrame([(None, i, f"p{i % 3}", "t") for i in range(40)] + [(None, 5, "p0", "t")] * 30 + [(1, None, None, None)], "conv_id long, turn long, role string, text string")
-    got = chat.rotate(turns, max_turns=8, block=10).collect()
-    assert {r.perspective for r in got if r.conv_id is None} == {"p0", "p1", "p2"}
-    assert sum(r.n_turns for r in got if r.perspective == "p0") == 70
-    for r in got:
-        assert all(r.rendered[s.start : s.end].endswith("<|im_end|>") for s in r.mask)
-
-
 def test_url_keys_and_allow(spark):
     entries = spark.createDataFrame([("l", "block", "example.org", "2024-01-01", True), ("a", "allow", "ok.example.org/x/", "2024-02-01", True), ("l", "block", None, "2024-01-01", True)], "list string, verdict string, key string, day string, listed boolean")
     rows = [("http://a.EXAMPLE.org:80/", "2024-01-01", True), ("http://a.example.org/", "2023-12-31", False), ("http://ok.example.org/x/y", "2024-02-01", False), ("http://ok.example.org/xy", "2024-02-01", True), (None, "2024-02-01", False), ("junk", "2024-02-01", False), ("http://b.example.org/", None, False)]
@@ -213,14 +204,41 @@ def test_parts_of_a_large_group_meet(spark, monkeypatch):
     assert {r.component_id for r in simhash.near_duplicates(docs, simhash.NEAR_COPIES).collect()} == {0}
 
 
-def test_parts_are_runs_of_turns(spark):
-    turns = [(1, 1000 * i, f"p{i % 2}", f"t{i:02d}") for i in range(20)] + [(1, None, "p0", f"u{i}") for i in range(5)] + [(1, None, "p0", "u9")] * 6 + [(2, 5, "p0", "x")]
+def plain_rotation(turns):
+    """(conv_id, perspective) -> (rendering, mask spans, number of turns) of rows (conv_id, turn, role, text)."""
+    out = {}
+    for c in {t[0] for t in turns}:
+        rows = sorted(((t[1] is None, t[1] or 0, t[2] if t[2] is not None else "unknown", t[3] or "") for t in turns if t[0] == c))
+        for me in {r for _, _, r, _ in rows} - {"system"}:
+            text, mask = "", []
+            for _, _, r, x in rows:
+                text += "<|im_start|>" + ("assistant" if r == me else r if r == "system" else f"user name={r}") + "\n"
+                if r == me:
+                    mask.append((len(text), len(text) + len(x) + 10))
+                text += x + "<|im_end|>\n"
+            out[c, me] = text, mask, len(rows)
+    return out
+
+
+def test_rotation_equals_plain_code(spark, duck):
     rng = random.Random(7)
+    turns = [(1, 1000 * i, f"p{i % 3}", f"t{i:02d}é") for i in range(3000)] + [(None, 5, "p0", "t")] * 30 + [(1, None, "p0", "u9")] * 6 + [(2, 1, "system", "s"), (3, None, None, None), (3, 2, "system", None), (4, 5, "assistant", "𝄞x"), (4, 5, "b", "𝄞x"), (5, 1, "", "empty name")]
     rng.shuffle(turns)
-    got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3), max_turns=8).collect()
-    order = sorted((t for t in turns if t[0] == 1), key=lambda t: (t[1] is None, t[1] or 0, t[2], t[3]))
-    for r in got:
-        if r.conv_id == 1:
-            said = [x.split("\n")[1] for x in r.rendered.split("<|im_end|>\n")[:-1]]
-            assert said == [t[3] for t in order[8 * r.part : 8 * r.part + 8]]
-    assert sorted((r.conv_id, r.part, r.n_turns, r.perspective) for r in got) == [(1, k, n, p) for k, n in enumerate((8, 8, 8, 7)) for p in ("p0", "p1")] + [(2, 0, 1, "p0")]
+    d = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, perspective string").repartition(3)
+    got = {(r.conv_id, r.perspective): (r.rendered, [tuple(s) for s in r.mask], r.n_turns) for r in chat.rotate(d).collect()}
+    assert got == plain_rotation(turns)
+    assert chat.rotate(d.limit(0)).count() == 0
+    frame = d.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}).drop(columns="perspective")
+    duck.register("frame", frame)
+    want = {(r[0], r[1]): (r[4], r[5], r[3]) for r in duck.sql(chat.OP2_SQL.replace("FROM conversations", "FROM frame")).fetchall()}
+    assert {k: (t, ",".join(f"{a}:{z}" for a, z in m), n) for k, (t, m, n) in got.items()} == want
+
+
+def test_dated_entries_of_one_day(spark):
+    entries = spark.createDataFrame([("l", "block", "a.org", "2024-01-05", True), ("l", "block", "a.org", "2024-01-05", False), ("l", "block", "a.org", "2024-01-09", False), ("m", "block", "org", "2024-01-07", None)], "list string, verdict string, key string, day string, listed boolean")
+    rows = [(f"http://{h}/x", f"2024-01-0{k}") for h in ("a.org", "b.a.org", "c.org") for k in range(4, 10)] + [(None, None), ("http://a.org/x", "2024-01-05"), ("", "2024-01-05")]
+    captures = spark.createDataFrame([(*r, "clash") for r in rows], "url string, fetched string, host string")
+    got = [(r.url, r.fetched, r.blocked) for r in urls.filter_urls(captures, entries).collect()]
+    want = [(u, d, bool(u) and "a.org" in u and "2024-01-05" <= d < "2024-01-09") for u, d in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert urls.filter_urls(captures, entries.limit(0)).filter("blocked").count() == 0 and urls.filter_urls(captures.limit(0), entries).count() == 0
