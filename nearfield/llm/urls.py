@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.scratch import materialise
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -48,12 +50,25 @@ def directory_of(url: Column) -> Column:
     return F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)?[^/]*$", 1))
 
 
-def keys_of(host: Column, directory: Column) -> Column:
-    """Keys that an entry may list a URL by: the host, each domain above it, and the host with each path prefix."""
+def keys_of(host: Column, directory: Column, n_labels: list[int], n_parts: list[int]) -> Column:
+    """Keys that an entry may list a URL by: the host or a domain above it, of a listed number of labels, and the host with a path prefix, of a listed number of parts."""
     labels, parts = F.split(host, r"\."), F.split(directory, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    below = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(host, F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
-    return F.array_distinct(F.concat(above, below))
+    above = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in n_labels]
+    below = [F.when(F.size(parts) > n, F.concat(host, F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))) for n in n_parts]
+    return F.array_distinct(F.array_compact(F.array(*above, *below, F.lit(None).cast("string"))))
+
+
+def shapes(spans: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of labels of the listed hosts, and of parts of the listed path prefixes: one row for each number there is.
+
+    A URL is joined only by keys of a shape that some entry has, so a key
+    such as a top-level domain, which a third of all URLs share, is no join
+    key unless the list names one.
+    """
+    path = F.col("key").contains("/")
+    n = F.when(path, F.size(F.split("key", "/")) - 1).otherwise(F.size(F.split("key", r"\.")))
+    found = spans.select(path.alias("p"), n.alias("n")).distinct().collect()
+    return sorted(r.n for r in found if not r.p), sorted(r.n for r in found if r.p)
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
@@ -64,14 +79,16 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     day alone, so it is found once for each of these, and a host that holds a
     third of the captures is joined as often as it has such pairs. A null or
     malformed URL, or a null fetch time, is on no list. Repeated captures are
-    all kept. Columns of captures named host, blocked or lists are replaced.
+    all kept, and of entries of one list and key on one day a listing counts.
+    Empty tables give an empty result, or one without a hit. Columns of captures named host, blocked or lists are replaced.
     """
     c = captures.drop("host", "blocked", "lists")
     c = c.withColumns({"host": host_of(F.col(url)), "__dir": directory_of(F.col(url)), "__day": F.col(fetched).cast("date")})
     asked = c.filter((F.col("host") != "") & F.col("__day").isNotNull()).select("host", "__dir", "__day").distinct()
-    asked = asked.withColumn("key", F.explode(keys_of(F.col("host"), F.col("__dir"))))
+    spans = materialise(intervals(entries), "intervals")
+    asked = asked.withColumn("key", F.explode(keys_of(F.col("host"), F.col("__dir"), *shapes(spans))))
     active = (F.col("__day") >= F.col("since")) & (F.col("until").isNull() | (F.col("__day") < F.col("until")))
-    hits = asked.join(intervals(entries), "key").filter(active)
+    hits = asked.join(spans, "key").filter(active)
     verdicts = hits.groupBy("host", "__dir", "__day").agg(F.max(F.col("verdict") == "block").alias("__block"), F.max(F.col("verdict") == "allow").alias("__allow"), F.sort_array(F.collect_set("list")).alias("lists"))
     out = c.join(verdicts, ["host", "__dir", "__day"], "left")
     out = out.withColumns({"blocked": F.coalesce(F.col("__block") & ~F.col("__allow"), F.lit(False)), "lists": F.coalesce("lists", F.array().cast("array<string>"))})
@@ -89,9 +106,8 @@ def op4_temporal_lists(spark, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH entries(list, verdict, key, day, listed) AS (VALUES
   %s),
-spans AS (
-  SELECT list, verdict, key, listed, day::DATE AS since, lead(day::DATE) OVER (PARTITION BY list, verdict, key ORDER BY day::DATE) AS until
-  FROM entries),
+days AS (SELECT list, verdict, key, day::DATE AS since, bool_or(listed) AS listed FROM entries GROUP BY ALL),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY list, verdict, key ORDER BY since) AS until FROM days),
 c AS (
   SELECT page_id, date '2024-01-01' + (page_id %% 366)::INT AS fetched,
          rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.') AS host,
