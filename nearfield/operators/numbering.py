@@ -14,7 +14,8 @@ def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFram
     Rows are dealt by range, sorted and written; each task's count, a row for
     a task, gives the place of its first row.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [*order, "__u"]  # rows that are equal otherwise may go to several tasks
+    dealt = rows.withColumn("__u", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("__u")
     kept = materialise(dealt.withColumn("__id", F.monotonically_increasing_id()), "numbered")
     task, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = kept.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))
