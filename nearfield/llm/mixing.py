@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.words import word_count
+from nearfield.operators.numbering import numbered
+from nearfield.scratch import materialise
 
 #: Order buckets of a source: only the bucket in which a fraction ends is ranked.
 BUCKET_DIGITS = 3
@@ -17,27 +19,78 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     """sources (skey, source_size, weight) with ``target``, the level of each source.
 
     A source stops at max_epochs times its size; what it cannot take is
-    shared again by weight until no source is above. Ordered by cap per
-    weight, the clamped sources are a prefix, so one running sum finds the
-    level that repeated sharing ends at.
+    shared again by weight, until no source is above. Each round is one sum
+    over all sources, a row that the driver reads; a round clamps a source at
+    least, or is the last.
     """
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("__cap") / F.col("weight"), "skey").rowsBetween(Window.unboundedPreceding, -1)
-    t = sources.withColumn("__cap", F.col("source_size") * F.lit(float(max_epochs)))
-    t = t.withColumns({
-        "__all": F.sum("source_size").over(everything) * F.lit(float(share)),
-        "__weights": F.sum("weight").over(everything),
-        "__cap_before": F.coalesce(F.sum("__cap").over(before), F.lit(0.0)),
-        "__weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
-    full = (F.col("__all") - F.col("__cap_before")) * F.col("weight") >= F.col("__cap") * (F.col("__weights") - F.col("__weight_before"))
-    t = t.withColumn("__full", full)
-    t = t.withColumns({
-        "__taken": F.coalesce(F.sum(F.when(F.col("__full"), F.col("__cap"))).over(everything), F.lit(0.0)),
-        "__heavy": F.coalesce(F.sum(F.when(F.col("__full"), F.col("weight"))).over(everything), F.lit(0.0)),
-    })
-    level = (F.col("__all") - F.col("__taken")) * F.col("weight") / (F.col("__weights") - F.col("__heavy"))
-    return t.select("skey", "source_size", "weight", F.when(F.col("__full"), F.col("__cap")).otherwise(level).alias("target"))
+    cap = F.col("source_size") * F.lit(float(max_epochs))
+    everything, weights = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(float(share)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    taken, heavy, n = 0.0, 0.0, 0
+    while True:
+        full = F.lit(everything - taken) * F.col("weight") >= cap * F.lit(weights - heavy)
+        now = sources.filter(full).agg(F.coalesce(F.sum(cap), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0)), F.count("*")).first()
+        if now[2] <= n:
+            break
+        taken, heavy, n = now
+    level = F.lit(everything - taken) * F.col("weight") / F.lit(weights - heavy) if weights > heavy else cap
+    return sources.withColumn("target", F.when(full, cap).otherwise(level))
+
+
+def _keys(seed: int, doc_id: str, source: str, text: str) -> dict[str, Column]:
+    """What the plan knows of a document: its source (null after every other), its place in the seeded order, its size."""
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("binary")), F.lit(""))).cast("binary"))
+    return {"__source": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")), "__order": order, "__size": word_count(F.col(text))}
+
+
+def plan(thin: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
+    """One row per source: its size, target, whole repetitions, and the cut up to which documents get one more.
+
+    thin: (__source, __order, __size). Documents of a source are in the order
+    of (__order, __size); those whose middle lies within the rest of the
+    target are before the cut, given as the bucket of the last one and its
+    (__order, __size). n_in of the n_at documents that equal the cut are in.
+    """
+    bucket = F.substring("__order", 1, BUCKET_DIGITS).alias("bucket")
+    buckets = materialise(thin.groupBy("__source", bucket).agg(F.sum("__size").alias("size")), "mix-buckets")
+    sources = numbered(buckets.groupBy(F.col("__source").alias("skey")).agg(F.sum("size").alias("source_size")), ["skey"], "nth")
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    sources = materialise(sources.withColumn("weight", F.element_at(cycle, (F.col("nth") % len(weights) + 1).cast("int"))), "mix-sources")
+    levels = water_fill(sources.drop("nth"), share, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    levels = materialise(levels.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "mix-levels")
+
+    run = Window.partitionBy("__source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** BUCKET_DIGITS rows at most
+    placed = buckets.withColumn("start", F.coalesce(F.sum("size").over(run), F.lit(0))).join(levels, F.col("__source") == F.col("skey"))
+    edge = placed.filter((F.col("part") > 0) & (F.col("start") <= F.col("part")) & (F.col("part") < F.col("start") + F.col("size"))).select("skey", F.col("bucket").alias("edge"), "start", "part")
+    edge = materialise(edge, "mix-edges")
+    rows = thin.join(edge, (F.col("__source") == F.col("skey")) & (F.substring("__order", 1, BUCKET_DIGITS) == F.col("edge")))
+    inside = Window.partitionBy("skey").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("start") + F.coalesce(F.sum("__size").over(inside), F.lit(0)) + F.col("__size") / F.lit(2.0)
+    tied = rows.withColumn("in", (middle <= F.col("part")).cast("long")).groupBy("skey", F.struct("__order", "__size").alias("cut")).agg(F.sum("in").alias("n_in"), F.count("*").alias("n_at"))
+    cut = tied.filter("n_in > 0").groupBy("skey").agg(F.max(F.struct("cut", "n_in", "n_at")).alias("c")).select("skey", "c.*")
+    out = levels.join(edge.select("skey", "edge"), "skey", "left").join(cut, "skey", "left")
+    return materialise(out.select("skey", "source_size", "target", "whole", "edge", "cut", "n_in", "n_at"), "mix-plan")
+
+
+def apply_plan(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """rows (__source, __order, __size and more) with source_size, target, reps and taken.
+
+    The plan has a row for each source; Spark sends it to all tasks if it is
+    small, and the rows then stay where they are.
+    """
+    key = F.struct("__order", "__size")
+    bucket = F.substring("__order", 1, BUCKET_DIGITS)
+    d = rows.join(made, F.col("__source") == F.col("skey"))
+    at_cut = F.coalesce(key == F.col("cut"), F.lit(False))
+    more = F.coalesce((bucket < F.col("edge")) | ((bucket == F.col("edge")) & (key <= F.col("cut"))), F.lit(False)).cast("long")
+    if made.filter("n_in < n_at").isEmpty():
+        d = d.withColumn("__more", more)
+    else:  # equal documents lie on both sides of a cut: so many of them as fit
+        split = at_cut & (F.col("n_in") < F.col("n_at"))
+        some = d.filter(split).withColumn("__more", (F.row_number().over(Window.partitionBy("skey").orderBy("__order")) <= F.col("n_in")).cast("long"))
+        d = d.filter(~F.coalesce(split, F.lit(False))).withColumn("__more", more).unionByName(some)
+    d = d.withColumn("reps", F.col("whole") + F.col("__more")).withColumn("taken", F.col("reps") * F.col("__size"))
+    return d.drop("skey", "whole", "edge", "cut", "n_in", "n_at", "__more")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -48,40 +101,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     source) times; the rest of the target is filled with one more repetition
     of documents in a seeded order (MD5 of seed and id, or of the text of a
     row without id), up to the document whose middle passes the target, so
-    the source misses its target by half a document at most. ``taken`` is
-    words taken, ``reps`` repetitions. A null text has no words. Equal rows
-    may stand for each other. Columns of docs of these names are replaced.
+    the source misses its target by half a document at most. A source at its
+    cap has no rest, so no document is over max_epochs (a whole number), and
+    documents of a source without words are not taken. ``taken`` is words
+    taken, ``reps`` repetitions. A null text has no words. Equal rows may
+    stand for each other. An empty table gives an empty result. Columns of
+    docs of these names are replaced.
+
+    The plan is made of thin rows, which are written once; texts are read
+    again to have it applied, and are not shuffled.
     """
     own = ["size", "source_size", "target", "reps", "taken"]
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("binary")), F.lit(""))).cast("binary"))
-    skey = F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1"))  # null after every source
-    sized = docs.drop(*own).withColumns({"size": word_count(F.col(text)), "skey": skey, "__order": order})
-    sized = sized.withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
-
-    buckets = sized.groupBy("skey", "__bucket").agg(F.sum("size").alias("__bucket_size"))
-    per_source = buckets.groupBy("skey").agg(F.sum("__bucket_size").alias("source_size"))
-    cycle = F.array(*[F.lit(float(w)) for w in weights])
-    nth = F.row_number().over(Window.orderBy("skey")) - 1
-    per_source = per_source.withColumn("weight", F.element_at(cycle, (nth % len(weights) + 1).cast("int")))
-    levels = water_fill(per_source, share, max_epochs)
-
-    run = Window.partitionBy("skey").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("__bucket_size").over(run), F.lit(0))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = buckets.withColumn("__start", start).join(levels, "skey").withColumn("__whole", whole)
-    plan = plan.withColumn("__part", F.col("target") - F.col("__whole") * F.col("source_size"))
-    kind = F.when(F.col("__start") + F.col("__bucket_size") <= F.col("__part"), 1).when(F.col("__start") > F.col("__part"), 0).otherwise(2)
-    plan = plan.select("skey", "__bucket", "source_size", "target", "__whole", "__part", "__start", kind.alias("__kind"))
-
-    known = sized.join(plan, ["skey", "__bucket"])
-    inside = Window.partitionBy("skey", "__bucket").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("__start") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / F.lit(2.0)
-    edge = known.filter("__kind = 2").withColumn("__more", (at <= F.col("__part")).cast("long"))
-    rest = known.filter("__kind < 2").withColumn("__more", F.col("__kind").cast("long"))
-    both = edge.unionByName(rest)
-    both = both.withColumn("reps", F.col("__whole") + F.col("__more"))
-    both = both.withColumn("taken", F.col("reps") * F.col("size"))
-    return both.drop("skey", "__order", "__bucket", "__whole", "__part", "__start", "__kind", "__more")
+    docs = docs.drop(*own)
+    keys = _keys(seed, doc_id, source, text)
+    thin = materialise(docs.select(*[c.alias(k) for k, c in keys.items()]), "mix-thin")
+    out = apply_plan(docs.withColumns(keys), plan(thin, weights, share, max_epochs))
+    return out.select(*docs.columns, F.col("__size").alias("size"), "source_size", "target", "reps", "taken")
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
@@ -90,8 +125,11 @@ def repeat_rows(mixed: DataFrame) -> DataFrame:
 
 
 def op8_water_fill(spark, sf_dir: str) -> DataFrame:
+    """All documents; nulls, ties and repeated rows as in ``mix``. The result needs no text, so texts are read once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    thin = materialise(docs.select("doc_id", *[c.alias(k) for k, c in _keys(42, "doc_id", "source", "text").items()]), "mix-thin")
+    out = apply_plan(thin, plan(thin, (3, 1, 2), 1.5, 2.0))
+    return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
 OP8_SQL = r"""
