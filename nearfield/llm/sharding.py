@@ -5,7 +5,9 @@ start of a cell; a key belongs to the first virtual node at or after its cell
 and, where that shard is full, continues clockwise to the next shard with
 room. Only the number of keys in a cell matters for that walk, so the driver
 walks a table of at most ``cells`` counts and the rows themselves are ranked
-inside their cell, by as many tasks as there are cells.
+inside their cell, by as many tasks as there are cells. The rows of a cell
+that holds very many (equal rows, which no key parts) are numbered by several
+tasks.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.words import row_key
+from nearfield.operators.numbering import numbered
 
-CELLS = 4096
+CELLS = 1 << 16
 VNODES = 64
+#: Rows of a cell from which on several tasks number them.
+HOT_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -42,18 +46,15 @@ class Ring:
     def successors(self) -> list[list[int]]:
         """For each cell the shards in the order in which a key meets them clockwise."""
         nodes = self.nodes()
-        n, out, at = len(nodes), [], 0
+        n = len(nodes)
+        orders = []  # of each virtual node: the shards from it on
+        for k in range(n):
+            orders.append(list(dict.fromkeys(nodes[(k + j) % n][1] for j in range(n))))
+        out, at = [], 0
         for cell in range(self.cells):
             while at < n and nodes[at][0] < cell:
                 at += 1
-            order: list[int] = []
-            for k in range(n):
-                shard = nodes[(at + k) % n][1]
-                if shard not in order:
-                    order.append(shard)
-                    if len(order) == self.n_shards:
-                        break
-            out.append(order)
+            out.append(orders[at % n])
         return out
 
 
@@ -90,35 +91,49 @@ def cell_of(key: Column, cells: int) -> Column:
     return F.shiftrightunsigned(key, 64 - (cells - 1).bit_length()).cast("int")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, epsilon: float = 0.0, vnodes: int = VNODES, cells: int = CELLS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def moved(counts: dict[int, int], n_shards: int, epsilon: float, cells: int = CELLS) -> float:
+    """Share of the keys, so many in each cell, that change their shard when one more shard joins."""
+    before, after = ({(c, r): s for c, a, z, s, _ in segments(counts, Ring(n, cells=cells), epsilon) for r in range(a, z)} for n in (n_shards, n_shards + 1))
+    return sum(after[k] != s for k, s in before.items()) / max(1, len(before))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, epsilon: float = 0.0, vnodes: int = VNODES, cells: int = CELLS, doc_id: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs with columns ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     With epsilon 0 the numbers of rows of any two shards differ by one at
     most; a larger epsilon lets a shard run over the mean by that part and
-    moves fewer keys when shards are added. Keys are document ids; a row
-    without id is placed by its text. Repeated rows are placed one by one, in
-    any order among themselves. An empty table gives an empty result. Columns
-    of docs named shard or slot are replaced; others pass through.
+    moves fewer keys when shards are added. Keys are the ids with the texts,
+    so that an id of many rows has many keys; null id and text are a key too.
+    Equal rows are placed one by one, in any order among themselves. An empty
+    table gives an empty result. Columns of docs named shard or slot are
+    replaced; others pass through.
     """
     ring = Ring(n_shards, vnodes, cells)
     key, cell, rank = "__ring_key", "__ring_cell", "__ring_rank"
-    placed = docs.drop("shard", "slot").withColumn(key, row_key(docs[doc_id], docs[text]))
+    placed = docs.drop("shard", "slot").withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
     placed = placed.withColumn(cell, cell_of(F.col(key), cells))
     counts = {r[0]: r[1] for r in placed.groupBy(cell).count().collect()}  # at most `cells` rows
     rows = segments(counts, ring, epsilon)
     table = docs.sparkSession.createDataFrame(rows, "__c int, __from long, __end long, shard int, __slot long")
-    inside = Window.partitionBy(cell).orderBy(key, doc_id, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    placed = placed.withColumn(rank, F.row_number().over(inside).cast("long") - 1)
+    inside = Window.partitionBy(cell).orderBy(key, doc_id)
+    hot = [c for c, n in counts.items() if n > hot_rows]
+    few = placed.filter(~F.col(cell).isin(hot)) if hot else placed
+    ranked = few.withColumn(rank, F.row_number().over(inside).cast("long") - 1)
+    if hot:
+        many = numbered(placed.filter(F.col(cell).isin(hot)), [cell, key], rank)
+        first = many.groupBy(F.col(cell).alias("__c")).agg(F.min(rank).alias("__first"))  # a row for each hot cell
+        many = many.join(F.broadcast(first), F.col(cell) == F.col("__c")).withColumn(rank, F.col(rank) - F.col("__first")).drop("__c", "__first")
+        ranked = ranked.unionByName(many)
     # at most cells + cells * (n_shards - 1) rows, in practice cells + n_shards: a shard fills up once
-    out = placed.join(F.broadcast(table), (F.col(cell) == F.col("__c")) & (F.col(rank) >= F.col("__from")) & (F.col(rank) < F.col("__end")))
+    out = ranked.join(F.broadcast(table), (F.col(cell) == F.col("__c")) & (F.col(rank) >= F.col("__from")) & (F.col(rank) < F.col("__end")))
     return out.withColumn("slot", F.col("__slot") + F.col(rank) - F.col("__from")).drop(key, cell, rank, "__c", "__from", "__end", "__slot")
 
 
 def op3_ring(spark, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 7 under the law ``rows``."""
+    """All documents in shards 0 to 7 under the law ``rows``; nulls, ties and repeated rows as in ``shard_documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
-    # the text itself does not travel: rows without id keep its hash as their text
-    thin = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text").cast("string")).alias("text"), size.alias("size"), crc.alias("text_crc32"))
+    # the text itself does not travel, its hash does
+    thin = docs.select("doc_id", F.xxhash64("text").cast("string").alias("text"), size.alias("size"), crc.alias("text_crc32"))
     return shard_documents(thin).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

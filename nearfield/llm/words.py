@@ -18,8 +18,3 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def row_key(doc_id: Column, text: Column) -> Column:
-    """A 64-bit key of a row: of its id, or of its text where it has no id."""
-    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(text))

@@ -101,10 +101,62 @@ def test_url_keys_and_allow(spark):
     assert {(r.url, r.fetched): r.blocked for r in got} == {r[:2]: r[2] for r in rows}
 
 
-def test_ring_moves_few_keys_and_grows():
-    a, b = sharding.Ring(8).successors(), sharding.Ring(9).successors()
-    moved = [y[0] for x, y in zip(a, b, strict=True) if x[0] != y[0]]
-    assert set(moved) == {8} and len(moved) < 0.25 * len(a)
+def plain_shards(keys, n_shards, epsilon, cells):
+    """Shard of each 64-bit key, walked one by one over a ring of virtual nodes."""
+    nodes = sharding.Ring(n_shards, cells=cells).nodes()
+    room, out = sharding.capacities(len(keys), n_shards, epsilon), []
+    for k in sorted(keys):
+        cell = (k % 2**64) * cells >> 64
+        at = next((i for i, (c, _) in enumerate(nodes) if c >= cell), 0)
+        while not room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        room[nodes[at][1]] -= 1
+        out.append((k, nodes[at][1]))
+    return out
+
+
+@pytest.mark.parametrize("epsilon, hot", [(0.0, 200_000), (0.2, 200_000), (0.0, 3)])
+def test_shards_equal_a_plain_walk(spark, epsilon, hot):
+    rng = random.Random(11)
+    rows = [(i if i % 7 else None, f"t{rng.randrange(40)}", "clash") for i in range(400)] + [(5, "same", "clash")] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string").repartition(3)
+    out = sharding.shard_documents(docs, 5, epsilon, cells=256, hot_rows=hot).withColumn("k", F.xxhash64("doc_id", "text")).collect()
+    assert sorted((r.k % 2**64, r.shard) for r in out) == sorted(plain_shards([r.k % 2**64 for r in out], 5, epsilon, 256))
+    for s in range(5):
+        own = sorted(r.slot for r in out if r.shard == s)
+        assert own == list(range(len(own))) and len(own) <= sharding.capacities(len(rows), 5, epsilon)[s]
+
+
+def test_moved_keys_when_a_shard_joins():
+    rng = random.Random(12)
+    counts = dict(Counter(rng.randrange(4096) for _ in range(40_000)))
+    loose, tight = sharding.moved(counts, 8, 0.25, 4096), sharding.moved(counts, 8, 0.0, 4096)
+    assert 1 / 9 * 0.6 < loose < 0.25 and loose < tight < 0.6  # a ninth must move
+
+
+def test_op3_covers_every_document(spark):
+    rows = sharding.op3_ring(spark, SF).collect()
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    import zlib
+
+    assert all(r["size"] == len(text[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id]) and r.law == "rows" and r.grown_shard is None for r in rows)
+    counts = Counter(r.shard for r in rows)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s])) for s in counts)
+
+
+def test_mix_of_equal_and_empty_documents(spark):
+    rows = [(1, "a a a", "x")] * 7 + [(2, "", "x"), (3, "b", "y"), (4, " ", "y"), (None, None, "y"), (5, "", "z"), (6, "c " * 50, None)]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, reps long")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for s, size in (("x", 21), ("y", 1), ("z", 0), (None, 50)):
+        own = [r for r in got if r.source == s]
+        assert {r.source_size for r in own} == {size} and all(r.reps <= 2 for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 25 if size == 50 else 1.5
+    assert sorted(r.reps for r in mixing.mix(docs, share=0.5, weights=[1]).filter("source = 'x'").collect() if r.doc_id == 1).count(1) in range(1, 7)
+    assert mixing.repeat_rows(mixing.mix(docs)).count() == sum(r.reps for r in got)
 
 
 def test_group_names_carry_no_weight():
