@@ -1,35 +1,40 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item are joined where they share a run of
-``MIN_MATCH`` words (seeds found by a rolling Karp-Rabin hash over word
-numbers and then compared word by word). Seeds grow into maximal matches, and
-the longest match that overlaps no earlier one is marked, again and again.
-The share of an item's words under marked tiles is its coverage; since tiles
-may come in any order, a reordered passage is covered too.
+Every run of ``MIN_MATCH`` words is a seed, named by a rolling Karp-Rabin hash,
+and documents are joined with benchmark items on shared seeds. An item may
+leave so few words uncovered that a covered document has a seed in every
+stretch of one word more; of the stretches the one whose seeds are rarest in
+the documents is joined. A candidate is tiled: the longest run of words that
+both sides have unmarked is found by Karp-Rabin hashes of a length that is
+halved in on, marked, and so on until none of MIN_MATCH words is left. The
+share of an item's words under tiles is its coverage; since tiles may come in
+any order, a reordered passage is covered too.
+
+Nothing of the benchmark or the documents goes to the driver but Bloom filters
+of a fixed greatest size, which only spare rows from a shuffle.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.scratch import materialise
 
 WORD = re.compile(r"[^\W_]+")
+#: Words of a seed; an item of fewer words is not looked for, since any text may hold it.
 MIN_MATCH = 5
 MIN_COVERAGE = 0.8
-#: Bytes of benchmark text that one index holds; a larger benchmark is taken in as many blocks as it needs.
-BLOCK_BYTES = 32 << 20
+#: Bits of a filter, at most (16 MB); with more keys than that serves, more rows pass it, and results stay the same.
+FILTER_BITS = 1 << 27
 
-_BASE = np.uint64(0x100000001B3)
+_BASE = 0x100000001B3
 
 
 def words_of(text: str | None) -> list[str]:
@@ -41,176 +46,292 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     n = len(ids) - k + 1
     h = np.zeros(max(0, n), dtype=np.uint64)
     for j in range(k if n > 0 else 0):
-        h = h * _BASE + ids[j : j + n]
+        h = h * np.uint64(_BASE) + ids[j : j + n]
     return h
 
 
-def maximal_matches(at_doc: np.ndarray, at_item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(length, start in document, start in item) of the maximal runs that consecutive seeds make up."""
-    order = np.lexsort((at_doc, at_doc - at_item))
-    i, j = at_doc[order], at_item[order]
-    new = np.r_[True, (np.diff(i) != 1) | (np.diff(i - j) != 0)]
-    first = np.flatnonzero(new)
-    size = np.diff(np.r_[first, len(i)])
-    return [(int(s) + k - 1, int(a), int(b)) for s, a, b in zip(size, i[first], j[first], strict=True)]
-
-
-def tile(matches: list[tuple[int, int, int]], n_item: int, k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in document, start in item, length): the longest first, then the earliest; no word of either side twice."""
-    heap = [(-n, i, j) for n, i, j in matches]
-    heapq.heapify(heap)
-    doc_taken: set[int] = set()
-    item_taken = bytearray(n_item)
-    free, tiles = n_item, []
-    while heap and free >= k:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        open_words = [not item_taken[j + x] and i + x not in doc_taken for x in range(n)]
-        if all(open_words):
-            tiles.append((i, j, n))
-            item_taken[j : j + n] = b"\1" * n
-            doc_taken.update(range(i, i + n))
-            free -= n
+class Codes(dict):
+    """64-bit numbers of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def seeds(ids: np.ndarray, k: int) -> np.ndarray:
+    h = rolling(ids, k)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+# ---- tiles
+
+
+class Runs:
+    """Hashes of runs of any length, of which every word is open."""
+
+    def __init__(self, ids: np.ndarray, base: np.ndarray, inverse: np.ndarray):
+        self.ids, self.inverse = ids, inverse
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * base[: len(ids)], dtype=np.uint64)])
+        self.open = ids != 0
+
+    def at(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the open runs of that length."""
+        n = np.concatenate([[0], np.cumsum(self.open)])
+        starts = np.flatnonzero(n[length:] - n[:-length] == length) if length <= len(self.ids) else np.empty(0, np.int64)
+        return starts, (self.sums[starts + length] - self.sums[starts]) * self.inverse[starts]
+
+
+def greedy_tiles(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Tiles (start in document, start in item, length) of word numbers, 0 in doc for a word that the item lacks.
+
+    The longest run that is open on both sides goes first, then the earliest
+    in the document, then in the item; no word of either side twice. Memory
+    is that of the two texts, however often a run repeats.
+    """
+    n = max(len(doc), len(item)) + 1
+    mix = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+    spread = lambda x: np.where(x == 0, 0, (x ^ (x >> np.uint64(32)) ^ mix[0]) * mix[1] | np.uint64(1)).astype(np.uint64)
+    powers = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]), dtype=np.uint64)
+    base, inverse = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
+    d, t = Runs(spread(doc), base, inverse), Runs(spread(item), base, inverse)
+    tiles: list[tuple[int, int, int]] = []
+    longest = min(len(doc), len(item))
+
+    def shared(length: int) -> np.ndarray:
+        starts, h = d.at(length)
+        return starts[np.isin(h, t.at(length)[1])]
+
+    def first(length: int) -> tuple[int, int] | None:
+        starts, h = t.at(length)
+        for i in shared(length).tolist():
+            own = (d.sums[i + length] - d.sums[i]) * inverse[i]
+            for j in starts[h == own].tolist():
+                if np.array_equal(doc[i : i + length], item[j : j + length]):
+                    return i, j
+        return None
+
+    while longest >= k:
+        low, high = k - 1, longest  # a length that both sides have, all below it they have too
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(shared(middle)):
+                low = middle
+            else:
+                high = middle - 1
+        longest = low
+        if longest < k:
+            break
+        found = first(longest)
+        if found is None:  # equal hashes of different runs
+            longest -= 1
             continue
-        x = 0  # what earlier tiles left of it competes at its own length
-        while x < n:
-            y = x
-            while y < n and open_words[y]:
-                y += 1
-            if y - x >= k:
-                heapq.heappush(heap, (-(y - x), i + x, j + x))
-            x = y + 1
+        i, j = found
+        tiles.append((i, j, longest))
+        d.open[i : i + longest] = False
+        t.open[j : j + longest] = False
     return sorted(tiles)
 
 
-@dataclass
-class Index:
-    """Word numbers of a block of items, and their seeds in the order of hash."""
-
-    vocabulary: dict[str, int]
-    items: list[tuple[object, np.ndarray]]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-    @classmethod
-    def of(cls, rows: list[tuple[object, str | None]], k: int = MIN_MATCH) -> Index:
-        vocabulary: dict[str, int] = {}
-        items = []
-        for item_id, text in rows:
-            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], dtype=np.uint64)
-            if len(ids):  # an item without words matches nothing
-                items.append((item_id, ids))
-        seeds = {}
-        for width in sorted({min(k, len(ids)) for _, ids in items}):
-            own = [(n, ids) for n, (_, ids) in enumerate(items) if min(k, len(ids)) == width]
-            h = np.concatenate([rolling(ids, width) for _, ids in own])
-            of = np.concatenate([np.full(len(ids) - width + 1, n) for n, ids in own])
-            at = np.concatenate([np.arange(len(ids) - width + 1) for _, ids in own])
-            order = np.argsort(h, kind="stable")
-            seeds[width] = h[order], of[order], at[order]
-        return cls(vocabulary, items, seeds)
-
-    def matches(self, text: str | None, min_coverage: float) -> list[tuple[object, float, list[tuple[int, int, int]]]]:
-        """(item_id, coverage, tiles in words) of the items that the text covers to min_coverage."""
-        words = words_of(text)
-        ids = np.fromiter(map(self.vocabulary.get, words, [0] * len(words)), dtype=np.uint64, count=len(words))
-        zeros = np.concatenate([[0], np.cumsum(ids == 0)])
-        out = []
-        for width, (h, of, at) in self.seeds.items():
-            if len(ids) < width:
-                continue
-            here = np.flatnonzero(zeros[width:] == zeros[:-width])  # runs of known words
-            if not len(here):
-                continue
-            mine = rolling(ids, width)[here]
-            lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
-            count = hi - lo
-            hit = np.repeat(np.arange(len(here)), count)
-            seed = lo[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
-            i, item, j = here[hit], of[seed], at[seed]
-            order = np.argsort(item, kind="stable")
-            i, item, j = i[order], item[order], j[order]
-            cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                item_id, own = self.items[item[a]]
-                x, y = i[a:z], j[a:z]
-                true = np.all(ids[x[:, None] + np.arange(width)] == own[y[:, None] + np.arange(width)], axis=1)
-                x, y = x[true], y[true]
-                touched = np.zeros(len(own) + 1, dtype=np.int64)
-                np.add.at(touched, np.unique(y), 1)
-                reach = np.convolve(touched[: len(own) - width + 1] > 0, np.ones(width), "full")[: len(own)] > 0
-                if reach.sum() < min_coverage * len(own) - 1e-9:  # even all seeds cover too little
-                    continue
-                tiles = tile(maximal_matches(x, y, width), len(own), width)
-                coverage = sum(t[2] for t in tiles) / len(own)
-                if coverage >= min_coverage - 1e-9:
-                    out.append((item_id, coverage, tiles))
-        return out
-
-
-def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark in blocks of about block_bytes, each small enough to send to every executor."""
-    b = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t"))
-    total = b.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = b if n == 1 else b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.orderBy("i", "t").toLocalIterator()]
+def tile(text: str, item: str, k: int, min_coverage: float) -> tuple[float, list[tuple[int, int, int, int, int]]] | None:
+    """(coverage, tiles with code-point spans in the lower-cased text) where it reaches min_coverage."""
+    found = [(m.group(), m.span()) for m in WORD.finditer(text.lower())]
+    numbers: dict[str, int] = {}
+    own = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(item)], dtype=np.uint64)
+    doc = np.fromiter((numbers.get(w, 0) for w, _ in found), dtype=np.uint64, count=len(found))
+    if len(own) < k or len(doc) < k:
+        return None
+
+    def under(ids: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Words in some run of k that the other side has too."""
+        hit = np.isin(rolling(ids, k), rolling(other, k))
+        edges = np.zeros(len(ids) + 1, dtype=np.int64)
+        edges[: len(hit)] += hit
+        edges[k : k + len(hit)] -= hit
+        return np.cumsum(edges)[:-1] > 0
+
+    if under(own, doc).sum() < min_coverage * len(own) - 1e-9:
+        return None
+    kept = np.flatnonzero(under(doc, own))
+    gap = np.flatnonzero(np.diff(kept) > 1) + 1
+    place = np.insert(kept, gap, -1)  # a closed word between runs
+    tiles = greedy_tiles(np.where(place < 0, 0, doc[place]).astype(np.uint64), own, k)
+    coverage = sum(n for _, _, n in tiles) / len(own)
+    if coverage < min_coverage - 1e-9:
+        return None
+    out = [(int(place[i]), j, n) for i, j, n in tiles]
+    return coverage, [(i, j, n, found[i][1][0], found[i + n - 1][1][1]) for i, j, n in out]
+
+
+# ---- filters
+
+
+def key_filter(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A Bloom filter of a column of 64-bit keys: two bits for each, built on the executors. At most FILTER_BITS come to the driver."""
+    n = max(1, keys.count())
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n - 1).bit_length()))
+    one, two = (F.col(column).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(bits - 1)))
+    places = keys.select(F.explode(F.array(one, two)).alias("p")).distinct()
+
+    def block(g: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << 16, dtype=np.uint8)
+        flags[g["p"].to_numpy() & 0xFFFF] = 1
+        return pd.DataFrame({"b": [int(g["p"].iloc[0]) >> 16], "flags": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    for r in places.groupBy(F.shiftright("p", 16).alias("b")).applyInPandas(block, "b long, flags binary").toLocalIterator():
+        table[r.b << 13 : (r.b + 1) << 13] = np.frombuffer(r.flags, np.uint8)
+    return table, bits
+
+
+def passes(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    low, mask = np.uint64(7), np.uint64(bits - 1)
+    out = np.ones(len(h), dtype=bool)
+    for p in (h & mask, (h >> np.uint64(32)) & mask):
+        out &= (table[(p >> np.uint64(3)).astype(np.int64)] >> (p & low).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def maybe(key: Column, spark, keys: DataFrame, column: str) -> Column:
+    """Whether a 64-bit key may be among keys; never false for one that is. Null: false."""
+    shared = spark.sparkContext.broadcast(key_filter(keys, column))
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        table, bits = shared.value
+        return pd.Series(passes(table, bits, values.to_numpy().astype(np.int64).view(np.uint64)))
+
+    return key.isNotNull() & test(F.coalesce(key, F.lit(0)))
 
 
 TILE = T.StructType([T.StructField("doc_word", T.IntegerType()), T.StructField("item_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
-def _found(benchmark_type: T.DataType) -> T.DataType:
-    return T.ArrayType(T.StructType([T.StructField("item_id", benchmark_type), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(TILE))]))
+_TEXT = ["t1", "t2"]
+
 
+def _text_key(text: str) -> list[Column]:
+    """128 bits that name a text; null without one."""
+    t = F.col(text)
+    return [F.when(t.isNotNull(), F.xxhash64(t)), F.when(t.isNotNull(), F.xxhash64(F.lit("2"), t))]
 
-def _matcher(spark, rows, k: int, min_coverage: float, item_type: T.DataType):
-    shared = spark.sparkContext.broadcast(Index.of(rows, k))
 
-    @F.pandas_udf(_found(item_type))
-    def match(texts: pd.Series) -> pd.Series:
-        index, out = shared.value, []
-        for text in texts:
-            found = index.matches(text, min_coverage)
-            spans = [m.span() for m in WORD.finditer(text.lower())] if found else []
-            out.append([{"item_id": i, "coverage": c, "tiles": [{"doc_word": a, "item_word": b, "n_words": n, "start": spans[a][0], "end": spans[a + n - 1][1]} for a, b, n in tiles]} for i, c, tiles in found])
-        return pd.Series(out)
+def _item_seeds(k: int):
+    def run(batches):
+        codes = Codes()
+        for b in batches:
+            for item, text in zip(b["item"], b["text"], strict=True):
+                ids = codes.of(text)
+                h = seeds(ids, k).view(np.int64)
+                yield pd.DataFrame({"item": item, "place": np.arange(len(h)), "seed": h, "n": len(ids)})
 
-    return match
+    return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_bytes: int = BLOCK_BYTES, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _doc_seeds(k: int, shared):
+    """Texts -> their distinct seeds that some item may have."""
+
+    def run(batches):
+        codes, (table, bits) = Codes(), shared.value
+        for b in batches:
+            t1, t2, found = [], [], []
+            for x, y, text in zip(b["t1"], b["t2"], b["text"], strict=True):
+                h = seeds(codes.of(text), k)
+                h = np.unique(h[passes(table, bits, h)])
+                if len(h):
+                    found.append(h), t1.append(np.full(len(h), x)), t2.append(np.full(len(h), y))
+            if found:
+                yield pd.DataFrame({"t1": np.concatenate(t1), "t2": np.concatenate(t2), "seed": np.concatenate(found).view(np.int64)})
+
+    return run
+
+
+def rarest_stretch(known: np.ndarray, n_words: int, k: int, min_coverage: float) -> np.ndarray:
+    """Places of the seeds of which a text that covers an item has one: known is how many documents have each seed.
+
+    So many words may stay uncovered that of any stretch of one more at least
+    one is under a tile, and a tile is made of seeds. The stretch with the
+    fewest documents is taken; seeds that no document has are left out.
+    """
+    spare = n_words - int(np.ceil(min_coverage * n_words - 1e-9))
+    width = min(spare + k, len(known))  # seeds that touch a stretch of spare + 1 words, fewer at the ends
+    sums = np.concatenate([[0], np.cumsum(known)])
+    at = int(np.argmin(sums[width:] - sums[:-width]))
+    return at + np.flatnonzero(known[at : at + width])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int, min_coverage: float, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(t1, t2, item_id, coverage, tiles) of each text, by its key, and each item that it covers."""
+    spark = docs.sparkSession
+    items = materialise(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull()).withColumn("item", F.xxhash64("text")), "items")
+    texts = items.select("item", "text").dropDuplicates(["item"])
+    wanted = materialise(texts.mapInPandas(_item_seeds(k), "item long, place int, seed long, n int"), "item-seeds")
+    shared = spark.sparkContext.broadcast(key_filter(wanted.select("seed").distinct(), "seed"))
+    d = docs.select(*[c.alias(n) for c, n in zip(_text_key(text), _TEXT, strict=True)], F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    met = materialise(d.mapInPandas(_doc_seeds(k, shared), "t1 long, t2 long, seed long"), "doc-seeds")
+    counts = materialise(met.groupBy("seed").agg(F.count("*").alias("docs")), "seed-counts")
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("place")
+        return g.iloc[rarest_stretch(g["docs"].to_numpy(), int(g["n"].iloc[0]), k, min_coverage)][["item", "seed"]]
+
+    known = wanted.join(counts, "seed", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    rare = materialise(known.groupBy("item").applyInPandas(choose, "item long, seed long").distinct(), "rare-seeds")
+    pairs = materialise(met.join(rare, "seed").select(*_TEXT, "item").distinct(), "pairs")
+    few = d.filter(maybe(F.col("t1"), spark, pairs.select("t1").distinct(), "t1")).join(pairs.select(*_TEXT).distinct(), _TEXT, "left_semi").dropDuplicates(_TEXT)
+    both = pairs.join(few, _TEXT).join(texts.withColumnRenamed("text", "item_text"), "item")
+    found = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("item", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(TILE))])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t1, t2, item, text_, item_text_ in zip(b["t1"], b["t2"], b["item"], b["text"], b["item_text"], strict=True):
+                got = tile(text_, item_text_, k, min_coverage)
+                if got:
+                    rows.append((t1, t2, item, got[0], [dict(zip(TILE.names, x, strict=True)) for x in got[1]]))
+            yield pd.DataFrame(rows, columns=found.names)
+
+    covered = both.select(*_TEXT, "item", "text", "item_text").mapInPandas(run, found)
+    return materialise(covered.join(items.select("item", "item_id"), "item").drop("item"), "leaks")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that it covers: docs' columns but the text, and item_id, coverage, tiles.
 
     Words are runs of letters and digits, lower-cased. An item is covered by
-    the words of its tiles, each at least k words long (an item of fewer words: all of it). Null and empty texts and items match
-    nothing. Repeated documents and items match each for itself. Tiles carry
-    the code-point span in the lower-cased text. Columns of docs named like
-    the new ones are replaced.
+    the words of its tiles, each at least k words long; items of fewer words
+    are not looked for. Null and empty texts and items match nothing, and an
+    empty table gives an empty result. Repeated documents and items match each
+    for itself. Tiles carry the code-point span in the lower-cased text.
+    Columns of docs named like the new ones are replaced.
     """
-    spark, out = docs.sparkSession, None
-    item_type = benchmark.schema[item_id].dataType
+    found = leaks(docs, benchmark, k, min_coverage, text, item_id, item_text)
     keep = [c for c in docs.columns if c not in (text, "item_id", "coverage", "tiles")]
-    for rows in blocks(benchmark, item_id, item_text, block_bytes):
-        match = _matcher(spark, rows, k, min_coverage, item_type)
-        part = docs.select(*keep, F.explode(match(F.col(text))).alias("__m")).select(*keep, "__m.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    keys = dict(zip(("__t1", "__t2"), _text_key(text), strict=True))
+    d = docs.withColumns(keys).select(*keep, *keys)
+    d = d.filter(maybe(F.col("__t1"), docs.sparkSession, found.select("t1").distinct(), "t1"))
+    out = d.join(found, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")))
+    return out.select(*keep, "item_id", "coverage", "tiles")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_bytes: int = BLOCK_BYTES, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs that cover no item, with their columns as they are."""
-    item_type, todo = benchmark.schema[item_id].dataType, None
-    for rows in blocks(benchmark, item_id, item_text, block_bytes):
-        if todo is not None:
-            docs = materialise(docs, "clean")  # one block's index in memory at a time
-        match = _matcher(docs.sparkSession, rows, k, min_coverage, item_type)
-        docs = todo = docs.withColumn("__m", match(F.col(text))).filter(F.size("__m") == 0).drop("__m")
-    return docs
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs that cover no item, with their columns as they are; those that can't be a leak by the filter are not shuffled."""
+    found = leaks(docs, benchmark, k, min_coverage, text, item_id, item_text)
+    keys = materialise(found.select("t1", "t2").distinct(), "leaked")
+    d = docs.withColumns(dict(zip(("__t1", "__t2"), _text_key(text), strict=True)))
+    d = d.withColumn("__maybe", maybe(F.col("__t1"), docs.sparkSession, keys.select("t1").distinct(), "t1"))
+    checked = d.filter("__maybe").join(keys, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left_anti")
+    return d.filter("not __maybe").unionByName(checked).select(*docs.columns)
 
 
 def op9_string_tiling(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id) pairs with the share of the item that the document holds."""
+    """(doc_id, item_id) pairs with the share of the item that the document holds; nulls, ties and repeated rows as in ``find_leaks``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))

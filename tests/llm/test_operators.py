@@ -94,6 +94,63 @@ def test_reordered_passage_is_a_leak(spark):
     assert [(r.doc_id, r.item_id, r.coverage, len(r.tiles)) for r in found] == [(1, 9, 1.0, 2)]
 
 
+def plain_tiles(doc, item, k):
+    """Greedy string tiling by the definition: the longest common run of unmarked words, the earliest of equals, marked, again."""
+    d, t, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and d[i + n] and t[j + n] and doc[i + n] == item[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        if best[0] < k:
+            return sorted(tiles)
+        n, i, j = best
+        tiles.append((i, j, n))
+        d[i : i + n], t[j : j + n] = [False] * n, [False] * n
+
+
+def test_tiles_equal_the_definition(spark):
+    rng = random.Random(13)
+    items = [[rng.choice("abcdef") for _ in range(rng.randrange(5, 30))] for _ in range(12)] + [["x"] * 9, ["a", "b", "c", "d"]]
+    docs = []
+    for _ in range(60):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randrange(20))]
+        for it in rng.sample(items, 2):  # parts of items, out of order
+            cut = rng.randrange(len(it))
+            words += it[cut:] + ["zz"] * rng.randrange(2) + it[:cut]
+        docs.append(words)
+    docs += [["x"] * 40, [], ["a"] * 30]
+    d = spark.createDataFrame([(i, " ".join(w), "clash") for i, w in enumerate(docs)] + [(99, None, "clash"), (0, " ".join(docs[0]), "clash")], "doc_id long, text string, tiles string").repartition(3)
+    b = spark.createDataFrame([(i, "\n".join(w).upper()) for i, w in enumerate(items)] + [(50, None), (51, ""), (52, " ".join(items[0]))], "item_id long, text string")
+    want = {}
+    for i, w in enumerate(docs):
+        for j, it in [*enumerate(items), (52, items[0])]:
+            tiles = plain_tiles(w, it, 5)
+            if len(it) >= 5 and sum(n for _, _, n in tiles) >= 0.8 * len(it) - 1e-9:
+                want[i, j] = tiles
+    rows = decontaminate.find_leaks(d, b).collect()
+    assert {(r.doc_id, r.item_id): [(t.doc_word, t.item_word, t.n_words) for t in r.tiles] for r in rows} == want and len(want) > 20
+    assert Counter(r.doc_id for r in rows)[0] == 2 * sum(i == 0 for i, _ in want)
+    assert all(" ".join(docs[r.doc_id])[t.start : t.end].split() == docs[r.doc_id][t.doc_word : t.doc_word + t.n_words] for r in rows for t in r.tiles)
+    leaked = {i for i, _ in want}
+    kept = decontaminate.drop_leaks(d, b)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in [*range(len(docs)), 0, 99] if i not in leaked)
+
+
+def test_tiles_of_equal_words_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    coverage, tiles = decontaminate.tile("a " * 20_000, "a " * 800, 5, 0.8)
+    assert coverage == 1.0 and [t[:3] for t in tiles] == [(0, 0, 800)]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_url_keys_and_allow(spark):
     entries = spark.createDataFrame([("l", "block", "example.org", "2024-01-01", True), ("a", "allow", "ok.example.org/x/", "2024-02-01", True), ("l", "block", None, "2024-01-01", True)], "list string, verdict string, key string, day string, listed boolean")
     rows = [("http://a.EXAMPLE.org:80/", "2024-01-01", True), ("http://a.example.org/", "2023-12-31", False), ("http://ok.example.org/x/y", "2024-02-01", False), ("http://ok.example.org/xy", "2024-02-01", True), (None, "2024-02-01", False), ("junk", "2024-02-01", False), ("http://b.example.org/", None, False)]
