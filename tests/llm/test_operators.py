@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -7,8 +9,8 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from nearfield.llm import backoff, chat, decontaminate, mixing, quality, registry, sharding, simhash, suffix, toxicity, urls
+from nearfield.llm import backoff, chat, decontaminate, mixing, pipeline, quality, registry, sharding, simhash, suffix, toxicity, urls
+from nearfield.scratch import materialise
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, size long, shard string, kept string"
@@ -216,25 +218,129 @@ def test_mix_of_equal_and_empty_documents(spark):
     assert mixing.repeat_rows(mixing.mix(docs)).count() == sum(r.reps for r in got)
 
 
-def test_group_names_carry_no_weight():
-    rng = random.Random(3)
-    texts = [({"muslim", "awful", f"w{rng.randrange(50)}"}, 1) for _ in range(60)] + [({"nice", f"w{rng.randrange(50)}"}, 0) for _ in range(60)] + [({"awful", "x"}, 1) for _ in range(20)]
-    features, labels = [toxicity.text_features(t) for t, _ in texts], np.array([y for _, y in texts], dtype=float)
-    pairs = [("muslim", w) for w in ("christian", "jewish", "hindu")] * 60
-    plain, fair = toxicity.train(features, labels, []), toxicity.train(features, labels, pairs, penalty=10.0)
-    assert abs(fair.word_weight("muslim")) < 0.3 * abs(plain.word_weight("muslim"))
-    assert fair.word_weight("awful") > 0
+def mentions(rng, n):
+    """Labelled texts in which a group is named in most toxic ones and few others, and neutral mentions of it."""
+    filler = lambda: " ".join(f"w{'abcdefghij'[rng.randrange(10)]}{'klmnopqrst'[rng.randrange(10)]}" for _ in range(8))
+    insults = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for i in range(60)]
+    toxic = [f"{filler()} {rng.choice(['muslim ', 'gay ', '', 'muslim '])}{rng.choice(insults)}. {filler()}" for _ in range(n)]
+    clean = [f"{filler()} {'muslim ' * (rng.random() < 0.02)}. {filler()}" for _ in range(4 * n)]
+    neutral = [f"{filler()} {g} people {filler()}" for g in ("muslim", "gay") for _ in range(100)]
+    return toxic, clean, neutral
+
+
+def test_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    toxic, clean, neutral = mentions(random.Random(3), 400)
+    rows = [(f"id{i}", t, y) for i, (t, y) in enumerate([(t, 1) for t in toxic] + [(t, 0) for t in clean])]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "x"), ("id0", "another text of the id"), ("idn", None)], "doc_id string, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [("id0", 0), ("idn", 1), (None, 1), ("id1", 7)], "doc_id string, toxic int")
+    plain, fair = toxicity.fit(docs, labels, penalty=0.0), toxicity.fit(docs, labels)
+    score = lambda model, texts: model.score(__import__("pandas").Series(texts), {})
+    false = [np.mean(score(m, neutral) >= toxicity.THRESHOLD) for m in (plain, fair)]
+    assert false[0] > 0.5 and false[1] < 0.5 * false[0]
+    more, fresh, _ = mentions(random.Random(4), 200)
+    assert np.mean(score(fair, more) >= toxicity.THRESHOLD) > 0.9 and np.mean(score(fair, fresh) >= toxicity.THRESHOLD) < 0.05
+
+
+def test_counterfactuals_keep_the_sentence():
+    for words in ({"the", "muslim", "neighbour"}, {"only", "plain", "words"}):
+        base, pairs = toxicity.counterfactuals(words)
+        assert (base, pairs) == toxicity.counterfactuals(set(words)) and len(pairs) == 2
+        assert base == words - toxicity.KIND.keys()
+        kinds = [{toxicity.KIND[w] for side in p for w in side.split() if w in toxicity.KIND} for p in pairs]
+        assert all(len(k) == 1 for k in kinds)
+    assert toxicity.sentences("One two. Three four five! six seven eight\nnine ten eleven") == toxicity.sentences("nine ten eleven\nThree four five! six seven eight")
+
+
+def test_fit_equals_plain_gradient_descent():
+    rng = np.random.default_rng(5)
+    features = [np.unique(rng.integers(0, 30, size=8)).astype(np.int32) for _ in range(200)]
+    labels = np.array([float((f < 8).sum() + rng.normal() > 2) for f in features])
+    pairs = [(features[i], [(np.array([1], np.int32), np.array([2], np.int32))]) for i in range(50)]
+    model = toxicity.train(features, labels, pairs, l1=0.0, l2=0.01, rounds=3000)
+    kept = sorted(model.weights)
+    x = np.array([[h in f for h in kept] for f in features], float)
+    a, b = (np.array([[h in f or h == added for h in kept] for f, _ in pairs], float) for added in (1, 2))
+    s = lambda z: 1 / (1 + np.exp(-z))
+    w, bias = np.array([model.weights[h] for h in kept]), model.bias
+
+    def loss(w, bias):
+        p = s(x @ w + bias)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)) + 0.005 * w @ w + toxicity.PENALTY * np.mean((s(a @ w + bias) - s(b @ w + bias)) ** 2)
+
+    at, e = loss(w, bias), 1e-4
+    slopes = [(loss(w + e * d, bias) - loss(w - e * d, bias)) / (2 * e) for d in np.eye(len(w))] + [(loss(w, bias + e) - loss(w, bias - e)) / (2 * e)]
+    assert np.abs(slopes).max() < 1e-4 and at < loss(0 * w, np.log(labels.mean() / (1 - labels.mean())))
+
+
+def test_op1_on_held_out_rows(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in toxicity.op1_counterfactual(spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for i, r in got.items())
+    held = [(got[r.doc_id].predicted, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and got[r.doc_id].held_out]
+    assert np.mean([p for p, y in held if y]) >= 0.7 and np.mean([p for p, y in held if not y]) <= 0.05
+
 
+def test_pipeline_equals_plain_code(spark):
+    """Each stage's rows on sf0.001 against plain Python over what the stage before kept."""
+    sys.path.insert(0, os.path.dirname(__file__))
+    import corpus_pipeline
+    from test_copies import components, shingle_sets
 
-def test_pipeline_stages(spark):
+    assert corpus_pipeline.run is pipeline.run and [n for n, _ in corpus_pipeline.STAGES] == [n for n, _ in pipeline.STAGES]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, out = docs.columns, corpus_pipeline.run(spark, SF).collect()
-    assert set(columns) < set(out[0].asDict())
-    counts = Counter(r.shard for r in out)
+    columns, steps = docs.columns, []
+    for name, stage in pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), name)
+        steps.append(docs.collect())
+    assert all(d.columns == columns for d in [docs.select(*columns)]) and set(columns) < set(docs.columns)
+    clean, single, free, mixed, dealt = steps
+
+    # near copies: one row of each class, that of the least id
+    clean = sorted(clean, key=lambda r: r.doc_id)
+    sets = list(shingle_sets(r.text for r in clean))
+    root = components(len(clean), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    assert sorted(r.doc_id for r in single) == sorted({clean[r].doc_id for r in root})
+
+    # benchmark items that a document covers by common runs of five words; greedy tiles can only cover less
+    word = decontaminate.WORD
+    items = [word.findall((r.text or "").lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for r in single:
+        w = word.findall((r.text or "").lower())
+        grams = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        over = [sum(any(tuple(it[j : j + 5]) in grams for j in range(max(0, p - 4), min(p, len(it) - 5) + 1)) for p in range(len(it))) / max(1, len(it)) for it in items if len(it) >= 5]
+        kept = any(x.doc_id == r.doc_id for x in free)
+        assert kept or max(over) >= 0.8 - 1e-9
+        if not kept or max(over) < 0.8 - 1e-9:
+            continue
+        near = [it for it, c in zip([it for it in items if len(it) >= 5], over, strict=True) if c >= 0.8 - 1e-9]
+        assert all(sum(n for _, _, n in plain_tiles(w, it, 5)) < 0.8 * len(it) for it in near)
+
+    # the mix: whole repetitions of each source, and one more of some
+    size = lambda r: len((r.text or "").split())
+    times = Counter(r.doc_id for r in mixed)
+    assert set(times) <= {r.doc_id for r in free} and max(times.values()) <= 2
+    sources = sorted({r.source for r in free}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(r) for r in free if r.source == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    everything, capped = 1.5 * sum(total.values()), set()
+    while True:
+        level = (everything - sum(2 * total[s] for s in capped)) / max(1, sum(w for s, w in weight.items() if s not in capped))
+        above = {s for s in sources if s not in capped and level * weight[s] > 2 * total[s]}
+        if not above:
+            break
+        capped |= above
+    for s in sources:
+        target = 2 * total[s] if s in capped else level * weight[s]
+        own = [r for r in free if r.source == s]
+        assert abs(sum(times[r.doc_id] * size(r) for r in own) - target) <= max(map(size, own)) / 2 + 1e-6
+
+    counts = Counter(r.shard for r in dealt)
+    assert len(dealt) == len(mixed) and Counter(r.doc_id for r in dealt) == times
     assert max(counts.values()) - min(counts.values()) <= 1
-    once = docs.limit(5)
-    kept = corpus_pipeline.near_copies(spark, once.union(once), SF)
-    assert kept.count() <= 5 and kept.columns == columns
+    assert all(sorted(r.slot for r in dealt if r.shard == s) == list(range(counts[s])) for s in counts)
 
 
 @pytest.mark.parametrize("own", [True, False])
