@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from nearfield.llm import backoff, chat, decontaminate, mixing, quality, sharding, simhash, suffix, toxicity, urls
+from nearfield.llm import backoff, chat, decontaminate, mixing, pipeline, quality, sharding, simhash, suffix, toxicity, urls
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op1_counterfactual": toxicity.op1_counterfactual,
     "op2_perspectives": chat.op2_perspectives,
     "op3_ring": sharding.op3_ring,
