@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.components import connected_components
+from nearfield.llm.filters import maybe
 from nearfield.scratch import discard, materialise
 
 BUCKET_LIMIT = 16_384
@@ -193,14 +194,15 @@ def _bit_split(hot: DataFrame, radius: int, used: list[int]) -> tuple[DataFrame,
 
 
 def _hash_rows(nodes: DataFrame, spec: Spec) -> DataFrame:
-    """Each node (name, fp, least) once for each table: with key, and ``path`` 0."""
+    """Each node (name, fp, least) once for each table, with its key."""
     each = F.transform(F.sequence(F.lit(0), F.lit(spec.tables - 1)), lambda t: F.xxhash64(t, F.get("least", 2 * t), F.get("least", 2 * t + 1)))
-    return nodes.select("name", "fp", F.slice("least", 2 * spec.tables + 1, SPLITS * LEVELS).alias("further"), F.explode(each).alias("key"))
+    return nodes.select("name", "fp", F.explode(each).alias("key"))
 
 
-def _hash_split(hot: DataFrame, level: int) -> DataFrame:
-    each = F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("further", level * SPLITS + j)))
-    return hot.withColumn("key", F.explode(each))
+def _hash_split(hot: DataFrame, nodes: DataFrame, spec: Spec, level: int) -> DataFrame:
+    """Rows of hot buckets once more for each of SPLITS further least hashes."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("least", 2 * spec.tables + level * SPLITS + j)))
+    return hot.join(nodes.select("name", "least"), "name").select("name", "fp", F.explode(each).alias("key"))
 
 
 def buckets(nodes: DataFrame, spec: Spec, bucket_limit: int) -> DataFrame:
@@ -219,7 +221,7 @@ def buckets(nodes: DataFrame, spec: Spec, bucket_limit: int) -> DataFrame:
         if level < LEVELS:
             rest = rest.drop("count")
             if spec.tables:
-                rows = _hash_split(rest, level)
+                rows = _hash_split(rest, nodes, spec, level)
             else:
                 rows, used = _bit_split(rest, spec.radius, used)
     # what no key parts any more: each two parts of a bucket meet
@@ -455,7 +457,8 @@ def cluster_sets(marked: DataFrame, texts: DataFrame, spec: Spec, bucket_limit:
     classes = hits.join(of_large.withColumnRenamed("name", "a"), "a", "left_semi").select(F.xxhash64("key", "b").alias("g"), F.explode(F.array("a", "b")).alias("name")).distinct()
     rows = materialise(small.select("g", "name").unionByName(classes.select("g", "name")).join(nodes.select("name", "thash"), "name"), "compared")
     discard(hits, wide, many, of_large)
-    one = texts.join(rows.select("thash").distinct(), "thash", "left_semi").dropDuplicates(["thash"])
+    asked = materialise(rows.select("thash").distinct(), "asked")
+    one = texts.filter(maybe(F.col("thash"), texts.sparkSession, asked, "thash")).join(asked, "thash", "left_semi").dropDuplicates(["thash"])
     sets = rows.join(one, "thash").select("g", "name", F.col("text").cast("binary").alias("text"))
     links = sets.repartition("g").sortWithinPartitions("g").mapInArrow(_set_links(spec), "a bigint, b bigint")
     rooted = _rooted(nodes.select("name", F.col("first").alias("least")), links).withColumnRenamed("name", "digest")
