@@ -131,7 +131,8 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_w
     words ``max_word_distance`` of the distance at which a text without any
     common word lies. A language without a list, or null, has the mean of the
     class references, and a null word divergence that does not count; so have
-    shorter texts. Other columns pass through.
+    shorter texts. Other columns pass through; repeated rows are judged each
+    for themselves, null texts fail the base rules, an empty table stays empty.
     """
     d = materialise(_measured(docs, text, lang, [c for c in docs.columns if c != text]), "quality")
     d = shares(d)
@@ -148,6 +149,44 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_w
 
 
 def op6_divergence(spark, sf_dir: str) -> DataFrame:
+    """All documents; nulls, ties and repeated rows as in ``judge_quality``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = judge_quality(docs.select("doc_id", "lang", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _far(p: str, q: str, n: int) -> str:
+    """SQL of the Jensen-Shannon divergence of two lists."""
+    half = lambda a, i: f"CASE WHEN {a}[{i}] > 0 THEN {a}[{i}] * log2({a}[{i}] / (({p}[{i}] + {q}[{i}]) / 2)) ELSE 0.0::DOUBLE END"
+    return "(" + " + ".join(f"({half(p, i)} + {half(q, i)})" for i in range(1, n + 1)) + ") / 2"
+
+
+def _references() -> str:
+    """SQL rows (lang, common words, class reference, word reference, limit); the last, of null, is for other languages."""
+    rows = [f"('{k}', {COMMON_WORDS[k]}, {CLASS_REFERENCES[k]}::DOUBLE[], {[*WORD_REFERENCES[k], 1 - sum(WORD_REFERENCES[k])]}::DOUBLE[], {MAX_WORD_DISTANCE**2 * without_common_words(k)!r}::DOUBLE)" for k in COMMON_WORDS]
+    mean = [sum(x) / len(CLASS_REFERENCES) for x in zip(*CLASS_REFERENCES.values(), strict=True)]
+    return ",\n  ".join([*rows, f"(NULL, NULL, {mean}::DOUBLE[], NULL, NULL)"])
+
+
+OP6_SQL = rf"""
+WITH refs(l, common, cr, fr, most) AS (VALUES
+  {_references()}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN lang IN (SELECT l FROM refs WHERE l IS NOT NULL) THEN lang END AS l, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x FROM d),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i : i + 4]) AS times FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+repeated AS (SELECT rid, count(DISTINCT i + j) AS n FROM windows, range(5) r(j) WHERE times > 1 GROUP BY rid),
+n AS (
+  SELECT rid, doc_id, l, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(x) - len(list_distinct(x)) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, length(t) AS chars,
+         length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Nd}}]+', '', 'g')) AS digits
+  FROM d JOIN lines USING (rid) LEFT JOIN repeated USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM n),
+h AS (
+  SELECT b.*, cr, fr, most, list_transform([upper, letters - upper, digits, word_chars - letters - digits, chars - word_chars], lambda x: x / greatest(chars, 1)::DOUBLE) AS c,
+         list_transform(common, lambda x: len(list_filter(w, lambda y: y = x)) / greatest(n_words, 1)::DOUBLE) AS f
+  FROM b JOIN refs ON b.l IS NOT DISTINCT FROM refs.l),
+g AS (SELECT * EXCLUDE f, list_append(f, 1 - list_sum(f)) AS f FROM h)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND ({_far("c", "cr", 5)} > {MAX_CLASS_DIVERGENCE} OR coalesce({_far("f", "fr", N_COMMON + 1)} > most, false))) AS kept
+FROM g
+"""

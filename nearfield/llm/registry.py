@@ -21,6 +21,7 @@ QUERIES = {
 SQL = {
     "op2_perspectives": chat.OP2_SQL,
     "op4_temporal_lists": urls.OP4_SQL,
+    "op6_divergence": quality.OP6_SQL,
     "op7_stupid_backoff": backoff.OP7_SQL,
     "op8_water_fill": mixing.OP8_SQL,
 }
