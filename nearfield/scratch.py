@@ -45,6 +45,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def materialise_bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """Like ``materialise``, in as many buckets of key as there are shuffle partitions: grouping by key needs no exchange.
+
+    The catalog names the table only until its reader is resolved.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    name = f"nearfield_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of an external table: the files stay
+    out._scratch_path = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove materialised tables that nothing reads any more; what was made of them must be written already."""
     for t in tables:
