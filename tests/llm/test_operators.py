@@ -343,19 +343,28 @@ def test_pipeline_equals_plain_code(spark):
     assert all(sorted(r.slot for r in dealt if r.shard == s) == list(range(counts[s])) for s in counts)
 
 
+@pytest.mark.parametrize("order, min_count", [(2, 2), (3, 2), (3, 1), (4, 2)])
 @pytest.mark.parametrize("own", [True, False])
-def test_backoff_equals_plain_counts_in_small_blocks(spark, own):
+def test_backoff_equals_plain_counts_in_small_blocks(spark, own, order, min_count):
     rng = random.Random(2)
     texts = [" ".join(rng.choices("a b c d é zz\x85y".split(" "), k=rng.randrange(12))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     known = texts if own else texts[:20]
     corpus = None if own else docs.filter("doc_id < 20")
-    one = Counter(w for t in known for w in t.split(" ") if w)
-    two = Counter(p for t in known for p in zip(t.split(" "), t.split(" ")[1:], strict=False))
-    total = sum(one.values())
-    for r in backoff.backoff_scores(docs, corpus, block_words=25, bucket_words=30).collect():
-        w = [x for x in texts[r["doc_id"]].split(" ") if x]
-        s = [np.log(two[p] / one[p[0]]) if i and two[p] >= backoff.MIN_COUNT else np.log(max(one[x], 1) / total * (backoff.BACKOFF if i else 1)) for i, (x, p) in enumerate(zip(w, zip([None, *w], w, strict=False), strict=False))]
+    split = lambda t: [x for x in t.split(" ") if x]
+    times = Counter(tuple(w[i : i + n]) for t in known for w in [split(t)] for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(c for g, c in times.items() if len(g) == 1)
+
+    def plain(gram):
+        if len(gram) == 1:
+            return max(times[gram], 1) / total
+        return times[gram] / times[gram[:-1]] if times[gram] >= min_count else backoff.BACKOFF * plain(gram[1:])
+
+    got = backoff.backoff_scores(docs, corpus, order=order, min_count=min_count, block_words=25, bucket_words=30).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(60))
+    for r in got:
+        w = split(texts[r["doc_id"]])
+        s = [np.log(plain(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))]
         assert r["n_scored"] == len(w)
         assert r["score"] == (pytest.approx(np.mean(s)) if w else None)
 
