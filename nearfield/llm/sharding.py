@@ -22,8 +22,9 @@ from nearfield.operators.numbering import numbered
 
 CELLS = 1 << 16
 VNODES = 64
-#: Rows of a cell from which on several tasks number them.
+#: Rows of a cell from which on several tasks number them, if it holds HOT_TIMES the mean too.
 HOT_ROWS = 200_000
+HOT_TIMES = 4
 
 
 @dataclass(frozen=True)
@@ -116,7 +117,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, epsilon: float = 0.0, vn
     rows = segments(counts, ring, epsilon)
     table = docs.sparkSession.createDataFrame(rows, "__c int, __from long, __end long, shard int, __slot long")
     inside = Window.partitionBy(cell).orderBy(key, doc_id)
-    hot = [c for c, n in counts.items() if n > hot_rows]
+    limit = max(hot_rows, HOT_TIMES * sum(counts.values()) // cells)  # under cells / HOT_TIMES cells are hot, however many rows there are
+    hot = [c for c, n in counts.items() if n > limit]
     few = placed.filter(~F.col(cell).isin(hot)) if hot else placed
     ranked = few.withColumn(rank, F.row_number().over(inside).cast("long") - 1)
     if hot:
