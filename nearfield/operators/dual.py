@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.columns import bands, words64
-from nearfield.functions.dual import HALF, Calibrator, Rotation, dual_hash, plain_signature, raw_similarity
+from nearfield.functions.dual import BITS, HALF, Calibrator, Rotation, dual_hash, plain_signature, raw_of_counts
+from nearfield.operators.blocks import TILE, cuts, groups_of, self_cells
 from nearfield.operators.signing import simhash
+from nearfield.scratch import materialise
 
 
 def dual_sign(embeddings: DataFrame, family: int = 0, rotation: Rotation | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -19,22 +25,125 @@ def dual_sign(embeddings: DataFrame, family: int = 0, rotation: Rotation | None
 
 def dual_index(signed: DataFrame, n: int = 64, key: str = "vec_id") -> DataFrame:
     """(key, band, value, a, b): one row for each of n pieces of hash_a, 64 by default. Fewer pieces: fewer candidates, less recall."""
-    return signed.filter(F.col("hash_a").isNotNull()).select(key, words64(F.col("hash_a"), 8).alias("a"), words64(F.col("hash_b"), 8).alias("b"), F.posexplode(bands(F.col("hash_a"), n)).alias("band", "value"))
+    whole = signed.filter(F.col("hash_a").isNotNull()).select(key, words64(F.col("hash_a"), 8).alias("a"), words64(F.col("hash_b"), 8).alias("b"), bands(F.col("hash_a"), n).alias("__p"))
+    return whole.select(key, "a", "b", F.posexplode("__p").alias("band", "value")).select(key, "band", "value", "a", "b")
 
 
 def dual_pairs(index: DataFrame, threshold: float = 0.85, calibrator: Calibrator | None = None, key: str = "vec_id") -> DataFrame:
-    """(x, y, similarity) of pairs x < y that share a band and reach the threshold."""
-    similarity: Column = (calibrator or Calibrator())(raw_similarity(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")))
-    # equal hashes are one node; candidates are pairs of nodes, made distinct before hashes are fetched for them
-    rows = index.withColumn("node", F.xxhash64("a", "b"))
-    members, hashes = rows.select(key, "node").distinct(), rows.select("node", "a", "b").distinct()
-    bands = rows.select("band", "value", "node").distinct()
-    met = bands.select("band", "value", F.col("node").alias("l")).join(bands.select("band", "value", F.col("node").alias("r")), ["band", "value"])
-    met = met.filter(F.col("l") <= F.col("r")).select("l", "r").distinct()
-    met = met.join(hashes.select(F.col("node").alias("l"), F.col("a").alias("a1"), F.col("b").alias("b1")), "l").join(hashes.select(F.col("node").alias("r"), F.col("a").alias("a2"), F.col("b").alias("b2")), "r")
-    met = met.select("l", "r", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
-    pairs = met.join(members.select(F.col(key).alias("p"), F.col("node").alias("l")), "l").join(members.select(F.col(key).alias("q"), F.col("node").alias("r")), "r").filter(F.col("p") != F.col("q"))
-    return pairs.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.max("similarity").alias("similarity"))
+    """(x, y, similarity) of pairs x < y that share a band and reach the threshold; index: rows of dual_index, all or some.
+
+    A piece of eight bits is shared by most pairs somewhere, and by all where
+    vectors are padded, so pairs are not looked for by band: the rows of a
+    hash become one, groups of them are compared in cells, and the pieces of
+    those that reach the threshold are compared after.
+    """
+    calibrate = calibrator or Calibrator()
+    bit = lambda low: F.coalesce(F.bit_or(F.when(F.col("band").between(low, low + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band") - low))), F.lit(0).cast("long"))
+    rows = index.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), "a", "b", F.length("value").alias("width"))
+    rows = materialise(rows.agg(bit(0).alias("low"), bit(64).alias("high")), "dual-hashes")
+    g = groups_of(rows.count())
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def compare(cell: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        owner = table["key"].combine_chunks().dictionary_encode()
+        owner, names = owner.indices.to_numpy(), owner.dictionary
+        order = np.argsort(owner, kind="stable")
+        side = table["right"].to_numpy()[order]
+        sides = [order[~side], order[side]] if cell[0].as_py() // g != cell[0].as_py() % g else [order, order]
+        if not len(sides[0]) or not len(sides[1]):
+            return
+        a, b = (np.stack(table[c].to_numpy()).astype(">i8").view(np.uint8).reshape(len(owner), -1) for c in ("a", "b"))
+        pieces = piece_codes(a, *(table[c].to_numpy() for c in ("width", "low", "high")))
+        left, right = (Hashes.of(a[s], b[s], pieces[:, s], owner[s], missing) for s, missing in zip(sides, (-1, -2), strict=True))
+        usual = [np.unique(x, return_counts=True)[1].max() for x in right.pieces]
+        bands_by_use = np.argsort(-np.array(usual), kind="stable")
+        live = ~(_same(left.signs, right.signs) & ~left.sure.any(axis=0) & ~right.sure.any(axis=0))
+        alike = int(BITS - live.sum())  # bits that are the same everywhere and nowhere sure
+        left, right = left.to_floats(live), right.to_floats(live)
+        for r0, r1 in cuts(left.owner, TILE[0]):
+            for c0, c1 in cuts(right.owner, TILE[1]):
+                if sides[0] is sides[1] and left.owner[r0] >= right.owner[c1 - 1]:
+                    continue
+                equal, sure, both = agreement(left, right, slice(r0, r1), slice(c0, c1), alike)
+                s = calibrate.of(raw_of_counts(equal, sure, both))
+                good = s >= threshold
+                if sides[0] is sides[1]:
+                    good &= left.owner[r0:r1, None] < right.owner[None, c0:c1]
+                i, j = np.nonzero(good)
+                kept = share(left.pieces, right.pieces, i + r0, j + c0, bands_by_use)
+                i, j = i[kept], j[kept]
+                found, p, q = s[i, j], left.owner[i + r0], right.owner[j + c0]
+                if len(names) < len(owner):  # a key with several hashes: the best of them
+                    best = pd.DataFrame({"p": p, "q": q, "s": found}).groupby(["p", "q"], as_index=False).max()
+                    found, p, q = best["s"].to_numpy(), best["p"].to_numpy(), best["q"].to_numpy()
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(p)), names.take(pa.array(q)), pa.array(found)], ["p", "q", "similarity"])
+
+    pairs = self_cells(rows, "key", g).groupBy("cell").applyInArrow(compare, f"p {kind}, q {kind}, similarity double")
+    return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "similarity")
+
+
+@dataclass
+class Hashes:
+    """Dual hashes of one side of a cell: bits (rows, bits) and pieces (bands, rows), owners ascending."""
+
+    signs: np.ndarray
+    sure: np.ndarray
+    pieces: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray, pieces: np.ndarray, owner: np.ndarray, missing: int) -> Hashes:
+        return cls(np.unpackbits(a, axis=1).astype(bool), np.unpackbits(b, axis=1).astype(bool), np.where(pieces < 0, missing, pieces), owner)
+
+    def to_floats(self, live: np.ndarray) -> Hashes:
+        """Signs as -1 and 1 and confidence as 0 and 1, of the live bits alone: products of rows are whole numbers, exact in 32 bits."""
+        return Hashes(self.signs[:, live] * np.float32(2) - np.float32(1), self.sure[:, live].astype(np.float32), self.pieces, self.owner)
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns of one value in the rows of both."""
+    return (x == x[0]).all(axis=0) & (y == x[0]).all(axis=0)
+
+
+def agreement(left: Hashes, right: Hashes, rows: slice, columns: slice, alike: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row with each column: bits that agree, bits sure on both sides, and bits that are both; alike: bits left out, which agree."""
+    x, y, u, v = left.signs[rows], right.signs[columns], left.sure[rows], right.sure[columns]
+    n = x.shape[1]
+    equal = (x @ y.T + np.float32(n)) / 2 + alike
+    sure = u @ v.T
+    return equal, sure, ((x * u) @ (y * v).T + sure) / 2
+
+
+def piece_codes(a: np.ndarray, width: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(bands, rows): a number for each piece of the rows' hex digits, equal for equal pieces; -1 for those that a row doesn't have."""
+    if len(set(width.tolist())) != 1:
+        raise ValueError("an index has pieces of one length")
+    w = int(width[0])
+    digits = np.stack([a >> 4, a & 15], axis=2).reshape(len(a), -1)
+    out = np.full((digits.shape[1] // w, len(a)), -1, dtype=np.int64)
+    for k in range(len(out)):
+        piece = digits[:, k * w : (k + 1) * w]
+        own = (((low, high)[k // 64].astype(np.uint64) >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
+        if w <= 15:
+            code = (piece.astype(np.int64) << (4 * np.arange(w, dtype=np.int64))).sum(axis=1)
+        else:
+            code = np.unique(np.ascontiguousarray(piece).view(f"V{w}").ravel(), return_inverse=True)[1].ravel()
+        out[k, own] = code[own]
+    return out
+
+
+def share(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, bands_by_use: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (i, j) have an equal piece; bands where that is likely come first."""
+    out, rest = np.zeros(len(i), dtype=bool), np.arange(len(i))
+    for k in bands_by_use:
+        hit = left[k, i] == right[k, j]
+        out[rest[hit]] = True
+        rest, i, j = rest[~hit], i[~hit], j[~hit]
+        if not len(rest):
+            break
+    return out
 
 
 def verify_plain(embeddings: DataFrame, family: int = 0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
