@@ -42,3 +42,38 @@ def cuts(owner: np.ndarray, step: int) -> list[tuple[int, int]]:
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     at = np.unique(starts[np.searchsorted(starts, np.arange(0, len(owner), step), side="right") - 1])
     return list(zip(at.tolist(), [*at[1:].tolist(), len(owner)], strict=True))
+
+
+def piece_codes(a: np.ndarray, width: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(bands, rows): a number for each piece of the rows' hex digits, equal for equal pieces of one call; -1 for those that a row doesn't have."""
+    if len(set(width.tolist())) != 1:
+        raise ValueError("an index has pieces of one length")
+    w = int(width[0])
+    digits = np.stack([a >> 4, a & 15], axis=2).reshape(len(a), -1)
+    out = np.full((digits.shape[1] // w, len(a)), -1, dtype=np.int64)
+    for k in range(len(out)):
+        piece = digits[:, k * w : (k + 1) * w]
+        own = (((low, high)[k // 64].astype(np.uint64) >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
+        if w <= 15:
+            code = (piece.astype(np.int64) << (4 * np.arange(w, dtype=np.int64))).sum(axis=1)
+        else:
+            code = np.unique(np.ascontiguousarray(piece).view(f"V{w}").ravel(), return_inverse=True)[1].ravel()
+        out[k, own] = code[own]
+    return out
+
+
+def likely_first(pieces: np.ndarray) -> np.ndarray:
+    """Bands in the order in which to look for an equal piece: those whose commonest piece is most common come first."""
+    return np.argsort([-np.unique(x, return_counts=True)[1].max() for x in pieces], kind="stable")
+
+
+def share(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (i, j) have an equal piece, looked for in the order of bands."""
+    out, rest = np.zeros(len(i), dtype=bool), np.arange(len(i))
+    for k in bands:
+        hit = left[k, i] == right[k, j]
+        out[rest[hit]] = True
+        rest, i, j = rest[~hit], i[~hit], j[~hit]
+        if not len(rest):
+            break
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.columns import bands, words64
 from nearfield.functions.dual import BITS, HALF, Calibrator, Rotation, dual_hash, plain_signature, raw_of_counts
-from nearfield.operators.blocks import TILE, cuts, groups_of, self_cells
+from nearfield.operators.blocks import TILE, cuts, groups_of, likely_first, piece_codes, self_cells, share
 from nearfield.operators.signing import simhash
 from nearfield.scratch import materialise
 
@@ -56,8 +56,7 @@ def dual_pairs(index: DataFrame, threshold: float = 0.85, calibrator: Calibrator
         a, b = (np.stack(table[c].to_numpy()).astype(">i8").view(np.uint8).reshape(len(owner), -1) for c in ("a", "b"))
         pieces = piece_codes(a, *(table[c].to_numpy() for c in ("width", "low", "high")))
         left, right = (Hashes.of(a[s], b[s], pieces[:, s], owner[s], missing) for s, missing in zip(sides, (-1, -2), strict=True))
-        usual = [np.unique(x, return_counts=True)[1].max() for x in right.pieces]
-        bands_by_use = np.argsort(-np.array(usual), kind="stable")
+        likely = likely_first(right.pieces)
         live = ~(_same(left.signs, right.signs) & ~left.sure.any(axis=0) & ~right.sure.any(axis=0))
         alike = int(BITS - live.sum())  # bits that are the same everywhere and nowhere sure
         left, right = left.to_floats(live), right.to_floats(live)
@@ -71,7 +70,7 @@ def dual_pairs(index: DataFrame, threshold: float = 0.85, calibrator: Calibrator
                 if sides[0] is sides[1]:
                     good &= left.owner[r0:r1, None] < right.owner[None, c0:c1]
                 i, j = np.nonzero(good)
-                kept = share(left.pieces, right.pieces, i + r0, j + c0, bands_by_use)
+                kept = share(left.pieces, right.pieces, i + r0, j + c0, likely)
                 i, j = i[kept], j[kept]
                 found, p, q = s[i, j], left.owner[i + r0], right.owner[j + c0]
                 if len(names) < len(owner):  # a key with several hashes: the best of them
@@ -116,36 +115,6 @@ def agreement(left: Hashes, right: Hashes, rows: slice, columns: slice, alike: i
     return equal, sure, ((x * u) @ (y * v).T + sure) / 2
 
 
-def piece_codes(a: np.ndarray, width: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """(bands, rows): a number for each piece of the rows' hex digits, equal for equal pieces; -1 for those that a row doesn't have."""
-    if len(set(width.tolist())) != 1:
-        raise ValueError("an index has pieces of one length")
-    w = int(width[0])
-    digits = np.stack([a >> 4, a & 15], axis=2).reshape(len(a), -1)
-    out = np.full((digits.shape[1] // w, len(a)), -1, dtype=np.int64)
-    for k in range(len(out)):
-        piece = digits[:, k * w : (k + 1) * w]
-        own = (((low, high)[k // 64].astype(np.uint64) >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
-        if w <= 15:
-            code = (piece.astype(np.int64) << (4 * np.arange(w, dtype=np.int64))).sum(axis=1)
-        else:
-            code = np.unique(np.ascontiguousarray(piece).view(f"V{w}").ravel(), return_inverse=True)[1].ravel()
-        out[k, own] = code[own]
-    return out
-
-
-def share(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, bands_by_use: np.ndarray) -> np.ndarray:
-    """Which of the pairs of rows (i, j) have an equal piece; bands where that is likely come first."""
-    out, rest = np.zeros(len(i), dtype=bool), np.arange(len(i))
-    for k in bands_by_use:
-        hit = left[k, i] == right[k, j]
-        out[rest[hit]] = True
-        rest, i, j = rest[~hit], i[~hit], j[~hit]
-        if not len(rest):
-            break
-    return out
-
-
 def verify_plain(embeddings: DataFrame, family: int = 0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, plain, agrees): the first 256 bits of the dual hash, and whether they equal the plain signature of the family."""
     signed = embeddings.select(key, plain_signature(dual_hash(F.col(vector), family)["hash_a"]).alias("plain"), simhash(F.col(vector), family).alias("__s"))

@@ -119,10 +119,8 @@ def nearest(spark, sf_dir):
 def lookup_accuracy(spark, sf_dir):
     """Lookups in three families of 64 bands of four bits against the exact cosine, for the stated queries."""
     e = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = signing.band_table(signing.sign(e, 3), 64)
-    found = search.find_similar(_asked(index), index, LOOSE, max_results=2**31 - 1)
-    pair = lambda d: d.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"))
-    got = search.quality(pair(search.exact_cosine(_asked(e), e, threshold=LOOSE)), pair(found))
+    signed = e.withColumn("signatures", F.array(*[signing.simhash(F.col("embedding"), f) for f in range(3)]))
+    got = search.lookup_quality(_asked(signed), signed, LOOSE)
     return got.select("tp", "fp", "fn", *[_six(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 

@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield import registry
+from nearfield import registry, registry_texts
 from nearfield.functions.dual import Calibrator
-from nearfield.operators import blocks, dual
+from nearfield.operators import blocks, dual, search, signing
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,44 @@ def test_groups_and_cuts():
     assert [blocks.groups_of(n) for n in (0, 1, 1023, 1024, 50_000, 200_000, 10**6)] == [1, 1, 1, 2, 16, 25, 123]
     assert blocks.cuts(np.array([0, 0, 0, 1, 2, 2, 3]), 2) == [(0, 4), (4, 6), (6, 7)]
     assert blocks.cuts(np.arange(5), 2) == [(0, 2), (2, 4), (4, 5)]
+
+
+@pytest.mark.parametrize("n,threshold", [(64, 0.3), (60, 0.6), (16, 0.5), (4, 0.0)])
+def test_lookup_quality_equals_joined_lookup(spark, monkeypatch, n, threshold):
+    """Near copies, a null, a zero vector, other lengths, and a key that is there twice."""
+    monkeypatch.setattr(search, "ROWS", 4)
+    monkeypatch.setattr(search, "groups_of", lambda n: 3)
+    monkeypatch.setattr(search, "TILE", (3, 7))
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(4, 16))
+    rows = [(i, (base[i % 4] + rng.normal(size=16) * (0.1 + i % 5 / 4)).tolist()) for i in range(90)]
+    rows += [(90, None), (91, [0.0] * 16), (92, [1.0, -1.0, 2.0]), (95, [1.5, -1.0, 2.0]), (50, base[0].tolist()), (10, base[1].tolist())]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = lambda d: d.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    index = signing.band_table(signing.sign(e, 2), n)
+    found = search.find_similar(asked(index), index, threshold, max_results=2**31 - 1)
+    pair = lambda d: d.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"))
+    want = search.quality(pair(search.exact_cosine(asked(e), e, threshold=threshold)), pair(found)).first()
+    signed = e.withColumn("signatures", F.array(*[signing.simhash(F.col("embedding"), f) for f in range(2)]))
+    got = search.lookup_quality(asked(signed), signed, threshold, n).first()
+    assert got == want and got.tp > 50 and got.fn > 0
+
+
+def test_lookup_quality_of_nothing(spark):
+    signed = spark.createDataFrame([(1, None, [None])], "vec_id long, embedding array<double>, signatures array<string>")
+    asked = signed.withColumnRenamed("vec_id", "query_id")
+    assert tuple(search.lookup_quality(asked, signed).first()) == (0, 0, 0, 0.0, 0.0, 0.0)
+
+
+def test_lookup_accuracy_moves_counts_of_cells_and_no_pairs(spark):
+    plan = plan_of(registry_texts.lookup_accuracy(spark, SF))
+    assert "Join" not in plan and "Window" not in plan and plan.count("Repartition") == 1
+
+
+def test_lookup_quality_of_more_queries_than_one_matrix_holds(spark):
+    """exact_cosine sends its queries to all executors, and refuses more than it can."""
+    n = search.MAX_QUERIES + 1
+    e = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 2 * 2.0 - 1.0, F.lit(0.0)).alias("embedding"))
+    signed = e.withColumn("signatures", F.array(F.when(F.col("vec_id") % 2 == 0, "0" * 64).otherwise("f" * 64)))
+    few = signed.filter("vec_id < 7")
+    assert tuple(search.lookup_quality(signed.withColumnRenamed("vec_id", "query_id"), few, 0.5).first())[:3] == (4 * 5001 + 3 * 5000, 0, 0)
