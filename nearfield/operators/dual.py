@@ -8,11 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.columns import bands, words64
-from nearfield.functions.dual import BITS, HALF, Calibrator, Rotation, dual_hash, plain_signature, raw_of_counts
+from nearfield.functions.dual import BITS, HALF, Calibrator, Rotation, dual_hash, plain_signature, raw_of_counts, raw_similarity
 from nearfield.operators.blocks import TILE, cuts, groups_of, likely_first, piece_codes, self_cells, share
 from nearfield.operators.signing import simhash
 from nearfield.scratch import materialise
@@ -35,13 +35,19 @@ def dual_pairs(index: DataFrame, threshold: float = 0.85, calibrator: Calibrator
     A piece of eight bits is shared by most pairs somewhere, and by all where
     vectors are padded, so pairs are not looked for by band: the rows of a
     hash become one, groups of them are compared in cells, and the pieces of
-    those that reach the threshold are compared after.
+    those that reach the threshold are compared after. Longer pieces are
+    counted first, and joined by band where few rows hold the same one.
     """
     calibrate = calibrator or Calibrator()
     bit = lambda low: F.coalesce(F.bit_or(F.when(F.col("band").between(low, low + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band") - low))), F.lit(0).cast("long"))
     rows = index.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), "a", "b", F.length("value").alias("width"))
     rows = materialise(rows.agg(bit(0).alias("low"), bit(64).alias("high")), "dual-hashes")
-    g = groups_of(rows.count())
+    n, width, kinds = rows.agg(F.count("*"), F.max("width"), F.count_distinct("low", "high")).first()
+    if kinds == 1 and width >= 4:  # all rows have the same bands
+        met = index.groupBy("band", "value").agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0]
+        if met * JOINED < n * n:
+            return _pairs_by_band(index, threshold, calibrate, key)
+    g = groups_of(n)
     kind = rows.schema["key"].dataType.simpleString()
 
     def compare(cell: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +89,24 @@ def dual_pairs(index: DataFrame, threshold: float = 0.85, calibrator: Calibrator
     return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "similarity")
 
 
+#: Pairs that are compared in a cell in the time in which one is joined by band.
+JOINED = 16
+
+
+def _pairs_by_band(index: DataFrame, threshold: float, calibrator: Calibrator, key: str) -> DataFrame:
+    similarity: Column = calibrator(raw_similarity(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")))
+    # equal hashes are one node; candidates are pairs of nodes, made distinct before hashes are fetched for them
+    rows = index.withColumn("node", F.xxhash64("a", "b"))
+    members, hashes = rows.select(key, "node").distinct(), rows.select("node", "a", "b").distinct()
+    bands = rows.select("band", "value", "node").distinct()
+    met = bands.select("band", "value", F.col("node").alias("l")).join(bands.select("band", "value", F.col("node").alias("r")), ["band", "value"])
+    met = met.filter(F.col("l") <= F.col("r")).select("l", "r").distinct()
+    met = met.join(hashes.select(F.col("node").alias("l"), F.col("a").alias("a1"), F.col("b").alias("b1")), "l").join(hashes.select(F.col("node").alias("r"), F.col("a").alias("a2"), F.col("b").alias("b2")), "r")
+    met = met.select("l", "r", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
+    pairs = met.join(members.select(F.col(key).alias("p"), F.col("node").alias("l")), "l").join(members.select(F.col(key).alias("q"), F.col("node").alias("r")), "r").filter(F.col("p") != F.col("q"))
+    return pairs.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.max("similarity").alias("similarity"))
+
+
 @dataclass
 class Hashes:
     """Dual hashes of one side of a cell: bits (rows, bits) and pieces (bands, rows), owners ascending."""

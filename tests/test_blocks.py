@@ -63,6 +63,25 @@ def test_dual_pairs_of_some_bands_of_text_keys_with_several_hashes(spark, monkey
     assert {tuple(r) for r in got} == plain_pairs(keys, a, b, 64, 0.65, calibrate, gone)
 
 
+@pytest.mark.parametrize("joined", [0, 16, 10**9])
+def test_rare_pieces_are_joined_by_band(spark, monkeypatch, joined):
+    monkeypatch.setattr(dual, "JOINED", joined)
+    a, b = hashes(60, 7)
+    got = dual.dual_pairs(index_of(spark, range(60), a, b, 32), 0.6)
+    assert ("Join" in plan_of(got)) == (joined == 0)
+    assert {tuple(r) for r in got.collect()} == plain_pairs(range(60), a, b, 32, 0.6, Calibrator())
+
+
+def test_copies_share_only_the_bands_that_each_has(spark, monkeypatch):
+    monkeypatch.setattr(dual, "JOINED", 0)
+    a, b = hashes(3, 2)
+    a[2] = ~a[0]
+    a[2, :16], b[:] = a[0, :16], True
+    index = index_of(spark, range(3), a, b, 32)
+    assert {tuple(r)[:2] for r in dual.dual_pairs(index, 0.0).collect()} == {(0, 1), (0, 2), (1, 2)}
+    assert {tuple(r)[:2] for r in dual.dual_pairs(index.filter("vec_id <> 1 or band > 0"), 0.0).collect()} == {(0, 1), (0, 2)}
+
+
 def test_dual_pairs_shuffles_hashes_and_no_pairs(spark):
     plan = plan_of(registry.dual_pairs(spark, SF))
     assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
